@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StringType, StructField, StructType
+
+
+def _text_columns(names: str, maps: str = "") -> StructType:
+    fields = [StructField(n, StringType()) for n in names.split()]
+    fields += [StructField(n, MapType(StringType(), StringType())) for n in maps.split()]
+    return StructType(fields)
+
 
 # Column names of the public review dataset.  Numbers and dates
 # are read as strings so that bad values are coerced by the cleaners instead
 # of spoiling the whole record.
-REVIEWS_RAW = StructType.fromDDL(
-    "review_id string, user_id string, business_id string, stars string, "
-    "date string, text string, useful string, funny string, cool string"
-)
-USERS_RAW = StructType.fromDDL(
-    "user_id string, name string, review_count string, yelping_since string, "
-    "useful string, funny string, cool string, fans string, elite string, "
-    "average_stars string"
-)
-BUSINESS_RAW = StructType.fromDDL(
-    "business_id string, name string, city string, state string, stars string, "
-    "review_count string, categories string, is_open string, latitude string, "
-    "longitude string, attributes map<string,string>, hours map<string,string>"
+REVIEWS_RAW = _text_columns("review_id user_id business_id stars date text useful funny cool")
+USERS_RAW = _text_columns(
+    "user_id name review_count yelping_since useful funny cool fans elite average_stars"
 )
-TIPS_RAW = StructType.fromDDL(
-    "user_id string, business_id string, text string, date string, compliment_count string"
+BUSINESS_RAW = _text_columns(
+    "business_id name city state stars review_count categories is_open latitude longitude",
+    maps="attributes hours",
 )
+TIPS_RAW = _text_columns("user_id business_id text date compliment_count")
 
 RAW_SCHEMAS = {
     "reviews": REVIEWS_RAW,
