@@ -168,3 +168,17 @@ def stratified_sample(
         .where(hash_order(key, seed) <= F.col("last_order"))
         .drop("_stratum", "last_order")
     )
+
+
+def members_of_random_group(
+    df: DataFrame, group: str, value: str, key: str, seed: int = 42
+) -> DataFrame:
+    """Rows of one seeded-random group with their rank by ``value``, in rank order."""
+    from kudoscope.operators.ranks import rank_in_group
+
+    known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    chosen = known.agg(F.min_by(group, hash_order(group, seed))).scalar()
+    rows = df.where(F.col(group) == chosen)
+    rank = f"{value}_rank_in_{group.removesuffix('_id')}"
+    ranked = rank_in_group(rows, value, group, key, rank, f"{value}_percentile")
+    return ranked.select(key, value, rank).orderBy(rank, key)
