@@ -55,7 +55,7 @@ def business(spark: SparkSession, sf_dir: str, counts: bool = True) -> DataFrame
             "categories"
         ),
         F.col("p_size").alias("stars"),
-        (F.col("p_retailprice") > 1000).cast("bigint").alias("is_open"),
+        (F.col("p_retailprice") > 950).cast("bigint").alias("is_open"),
     )
     if not counts:
         return df
@@ -117,7 +117,7 @@ REVIEW_CTES = """votes AS (
 business AS (
   SELECT p_partkey AS business_id, p_name AS name, p_brand AS city, p_type AS state,
          concat(replace(p_name, ' ', ', '), ', ', p_type) AS categories,
-         p_size AS stars, CAST(p_retailprice > 1000 AS BIGINT) AS is_open, n AS review_count
+         p_size AS stars, CAST(p_retailprice > 950 AS BIGINT) AS is_open, n AS review_count
   FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) x
     ON l_partkey = p_partkey),
 users AS (

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 # Patterns that define a word, a blank and a capital.
 BLANK = r"[\s\x1c-\x1f]"
-NON_BLANK_RUN = r"(?U)[^\s\x1c-\x1f]+"
 CAPITAL = r"\p{IsUppercase}"
 WORD_RUN = r"(?U)\w+"
 TOKEN_RUN = r"(?U)\w{2,}"
@@ -40,8 +39,14 @@ def char_length(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """Runs of non-blank characters; counted in place, no array is built."""
-    return F.regexp_count(c, F.lit(NON_BLANK_RUN))
+    """Words between blanks: the parts of a split, less an empty part at either end."""
+
+    def blank_end(ch: Column) -> Column:
+        return ch.rlike(rf"(?U)^{BLANK}$").cast("int")
+
+    parts = F.size(F.split(c, rf"(?U){BLANK}+"))
+    words = parts - blank_end(F.left(c, F.lit(1))) - blank_end(F.right(c, F.lit(1)))
+    return F.when(c == "", F.lit(0)).when(c.isNotNull(), words)
 
 
 def mean_word_length(c: Column) -> Column:
@@ -66,12 +71,17 @@ def caps_ratio(c: Column) -> Column:
     )
 
 
+def count_of(c: Column, mark: str) -> Column:
+    """Occurrences of one character."""
+    return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+
+
 def exclaim_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit("!"))
+    return count_of(c, "!")
 
 
 def question_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\?"))
+    return count_of(c, "?")
 
 
 def text_stats(c: Column) -> dict[str, Column]:

@@ -54,6 +54,11 @@ class TopValues:
         return (work.withColumns(out) if out else work).drop(*held)
 
 
+def _named(column: str):
+    """Array function that puts the column name beside each value."""
+    return lambda v: F.struct(F.lit(column).alias("column"), v.alias("token"))
+
+
 def top_tokens(df: DataFrame, sizes: dict[str, int], lists: Iterable[str] = ()) -> DataFrame:
     """Most frequent values of several columns in one scan:
     ``column``, ``token``, ``n``, ``place``."""
@@ -65,9 +70,7 @@ def top_tokens(df: DataFrame, sizes: dict[str, int], lists: Iterable[str] = ())
             if column in lists
             else F.array(text.strip(F.col(column).cast("string")))
         )
-        parts.append(
-            F.transform(values, lambda v, c=column: F.struct(F.lit(c).alias("column"), v.alias("token")))
-        )
+        parts.append(F.transform(values, _named(column)))
     counts = (
         df.select(F.inline(F.concat(*parts)))
         .where("token is not null and token <> ''")

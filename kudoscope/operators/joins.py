@@ -37,8 +37,7 @@ def attach(
     if salt_by is None:
         return left.join(right, key, "left")
     sizes = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
-    table = right.join(sizes, key, "left")
-    return salted_lookup(left, table, [key], "_rows", F.col(salt_by), sizes)
+    return salted_lookup(left, right.join(sizes, key, "left"), [key], "_rows", F.col(salt_by), sizes)
 
 
 def salted_lookup(
@@ -71,6 +70,28 @@ def salted_lookup(
     return spread.join(copied, [*keys, "_salt"], "left").drop("_salt", "_salts")
 
 
+SMALL_TABLE_ROWS = 500_000  # a caller's lookup table up to here is broadcast
+
+
+def is_small(df: DataFrame, rows: int = SMALL_TABLE_ROWS) -> bool:
+    """Counted, but never beyond the limit."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def look_up(
+    left: DataFrame, table: DataFrame, key: str, salt_by: Column, rows: int = SMALL_TABLE_ROWS
+) -> DataFrame:
+    """Left join of a caller's lookup table with unique keys.
+
+    A table of checked size is broadcast, so the left rows stay in place.  A
+    larger one is joined by shuffle with the hot keys of the left side salted.
+    """
+    if is_small(table, rows):
+        return left.join(F.broadcast(table), key, "left")
+    sizes = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    return salted_lookup(left, table.join(sizes, key, "left"), [key], "_rows", salt_by, sizes)
+
+
 def repeated_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once on either side (one shuffle for both)."""
     sides = left.select(F.col(key).alias("key"), F.lit(1).alias("l"), F.lit(0).alias("r"))

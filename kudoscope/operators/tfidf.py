@@ -55,10 +55,15 @@ def add_terms(df: DataFrame, column: str, settings: TermSettings, name: str = "t
 
 def term_frequencies(df: DataFrame, key: str, column: str, settings: TermSettings) -> DataFrame:
     """Long form ``key``, ``term``, ``tf``; a row of the table is in one task
-    already, so counts are folded before the shuffle."""
+    already, so counts are folded before the shuffle.
+
+    The outer explode keeps Spark from testing the list for emptiness first,
+    which would build all terms of a text once more.
+    """
     return (
         add_terms(df.select(key, column), column, settings)
-        .select(key, F.explode("terms").alias("term"))
+        .select(key, F.explode_outer("terms").alias("term"))
+        .where("term is not null")
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
