@@ -11,6 +11,7 @@ from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.functions import categories
 from kudoscope.operators import checks, encoders, ranks, sentiment, tfidf
 from kudoscope.plans import feature_matrix, master, review_features
+from kudoscope.session import keep
 
 # ---- sentiment ------------------------------------------------------------------
 
@@ -242,8 +243,9 @@ def impute_and_scale(spark, sf):
 
 
 def master_split(spark, sf):
+    """Both sides of the split, cut from one kept master table."""
     r, b, u = clean_tables(spark, sf)
-    return master.train_eval(master.master_table(r, b, u))
+    return master.train_eval(keep(master.master_table(r, b, u)))
 
 
 SPLIT_CTES = (

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from kudoscope.functions import text
 from kudoscope.models.weights import balanced_weights
 from kudoscope.operators import checks, ranks, sampling, tfidf
+from kudoscope.session import keep, release
 
 # Recipe names and the accepted spellings of the model types.
 RECIPES = ("text_tfidf", "text_tfidf_dense", "text_tfidf_plus_numeric")
@@ -189,7 +190,7 @@ def train_text_model(
     """Fit features and estimator as one saved-and-loaded pipeline.
 
     Terms and scales are fitted on all rows given; the assembled rows are kept
-    (spilling to disk) while the estimator iterates over them.
+    while the estimator iterates over them.
     """
     rows = text_and_target(df, target)
     features = feature_model(rows, recipe, settings, numeric)
@@ -197,9 +198,9 @@ def train_text_model(
     weighted = target == BINARY_TARGET and model_type(kind) != "random_forest_regressor"
     if weighted:
         data = balanced_weights(data, "label")
-    data = data.persist()
+    data = keep(data)
     try:
         model = Pipeline(stages=[estimator(kind, seed, trees, depth, weighted)]).fit(data)
     finally:
-        data.unpersist()
+        release(data)
     return PipelineModel(stages=[features, model])

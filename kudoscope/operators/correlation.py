@@ -8,7 +8,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kudoscope.operators.joins import salted_lookup
 from kudoscope.operators.ranks import running_total
 
 Pair = tuple[str, str]
@@ -55,13 +54,11 @@ def grouped_spearman(
     joint = df.dropna(subset=[x, y]).groupBy(*by, x, y).agg(F.count("*").alias("n"))
     ranked = joint
     for side in (x, y):
-        margin = joint.groupBy(*by, side).agg(
-            F.sum("n").alias("n"), F.count("*").alias("_pairs")
-        )
+        margin = joint.groupBy(*by, side).agg(F.sum("n").alias("n"))
         cum = running_total(margin, side, ["n"], by, discrete)
         centred = F.col("n_upto") - (F.col("n") - 1) / F.lit(2.0) - (F.col("n_all") + 1) / F.lit(2.0)
-        table = cum.select(*by, side, "_pairs", centred.alias(f"_r_{side}"))
-        ranked = salted_lookup(ranked, table, [*by, side], "_pairs", F.struct(F.col(x), F.col(y)))
+        # the joined rows are distinct pairs; AQE splits a value with very many partners
+        ranked = ranked.join(cum.select(*by, side, centred.alias(f"_r_{side}")), [*by, side])
     n, rx, ry = F.col("n"), F.col(f"_r_{x}"), F.col(f"_r_{y}")
     sums = ranked.groupBy(*by).agg(
         F.sum("n").cast("bigint").alias("rows"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kudoscope.functions import categories, dates, text, votes
 from kudoscope.operators import aggregates, clean, correlation, joins, ranks
+from kudoscope.session import keep, release
 from kudoscope.sources import sinks
 
 # Correlated columns and report sizes.
@@ -85,12 +86,12 @@ def report_tables(base: DataFrame) -> dict[str, DataFrame]:
 
 
 def run_report(base: DataFrame, folder: str) -> dict[str, str]:
-    """Write every table; the base is kept (spilling to disk) while they run."""
-    kept = base.persist()
+    """Write every table; the base is computed once for all of them."""
+    kept = keep(base)
     try:
         return {
             name: sinks.write_parquet(table, f"{folder}/{name}.parquet")
             for name, table in report_tables(kept).items()
         }
     finally:
-        kept.unpersist()
+        release(kept)

@@ -1,7 +1,11 @@
-"""Session settings and checkpoint folder handling."""
+"""Session settings and tables kept between the passes of a job."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job expects.  Joins are left to the cost-based choice of
@@ -24,19 +28,46 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+def build(name: str = "kudoscope", master: str | None = None, **settings: str) -> SparkSession:
+    builder = SparkSession.builder.appName(name)
+    if master:
+        builder = builder.master(master)
+    for key, value in {**SETTINGS, **settings}.items():
+        builder = builder.config(key, value)
+    return configure(builder.getOrCreate())
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder all executors reach, as the cluster names it."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
 
-    ``fallback`` is used only where the cluster names none (as in tests).
+def keep(df: DataFrame) -> DataFrame:
+    """A table that several passes read.
+
+    Written to the shared folder, so a lost executor costs nothing and columns
+    are still pruned; where the cluster names no folder it is cached on the
+    executors (spilling to disk).
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    folder = shared_folder(df.sparkSession)
+    if not folder:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder}/kudoscope/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Give back the cache of :func:`keep`; files stay with the cluster's clean-up."""
+    df.unpersist()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder when there is one, else return ``df``."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        return df
-    return df.checkpoint(eager=True)
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for written products: in the shared folder of the cluster;
+    a local folder only where Spark itself is local."""
+    shared = shared_folder(spark)
+    if shared:
+        return f"{shared}/kudoscope/{uuid.uuid4().hex}"
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="kudoscope-")
+    raise ValueError("set spark.checkpoint.dir to a folder all executors reach")
