@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kudoscope.catalog.base import review_base, business, reviews, sql, table, users
+from kudoscope.catalog.base import business, documents, review_base, reviews, sql, table, users
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.functions import categories, coerce, votes
 from kudoscope.operators import clean, encoders
@@ -25,7 +25,7 @@ RAW_REVIEWS = """raw AS (
 
 def raw_reviews(spark, sf):
     o = table(spark, sf, "orders")
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     status, price = F.col("o_orderstatus"), F.col("o_totalprice")
     return o.join(d, o.o_orderkey == d.doc_id).select(
         F.when((status != "P") | (price < 400000), F.col("o_orderkey").cast("string")).alias("review_id"),
@@ -162,7 +162,7 @@ def require_keys(spark, sf):
     "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE length(text) >= 200",
 )
 def min_text(spark, sf):
-    kept = clean.min_text_length(table(spark, sf, "documents"), "text", 200)
+    kept = clean.min_text_length(documents(spark, sf), "text", 200)
     return tidy(kept.select("doc_id", F.length("text").alias("chars")))
 
 
@@ -281,7 +281,7 @@ def fill_parts(spark, sf):
 def text_column(spark, sf):
     from kudoscope.functions.text import text_column as find
 
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     return tidy(d.select("doc_id", F.length(find(d.columns)).alias("chars")))
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd  # noqa: F401  (type of the batches given to a model)
-from pyspark.sql import functions as F
 
-from kudoscope.catalog.base import business, review_base, reviews, sql, table, users, with_text
+from kudoscope.catalog.base import business, documents, review_base, reviews, sql, table, users, with_text
 from kudoscope.catalog.functions import STOP_SQL, STOPS, TEXT_STATS_SQL, TOKENS
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.functions import categories
@@ -25,7 +23,7 @@ lexicon AS (SELECT token, round(avg(quality) * 2 - 1, 3) AS valence FROM tok GRO
 def learned_lexicon(spark, sf):
     from kudoscope.functions import text
 
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     words = docs.select("quality", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
     return (
         words.groupBy("token")
@@ -42,13 +40,13 @@ SELECT d.doc_id, {big('coalesce(hits, 0)')} AS hits, (round(CAST(coalesce(valenc
   (round(CAST(coalesce(valence / sqrt(valence * valence + 15), 0) AS DOUBLE), 4) + 0.0) AS compound
 FROM documents d LEFT JOIN hit h ON h.doc_id = d.doc_id""")
 def lexicon_sums(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return tidy(sentiment.lexicon_sums(docs, "doc_id", "text", learned_lexicon(spark, sf)), 4)
 
 
 @query("I2_lexicon_rule_scores")
 def lexicon_scores(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return tidy(sentiment.score_sentiment(docs, "doc_id", "text", "lexicon", lexicon=learned_lexicon(spark, sf)))
 
 
@@ -58,7 +56,7 @@ hit AS (SELECT doc_id, sum(valence) AS v FROM
 SELECT sentiment_label, {big('count(*)')} AS n FROM (SELECT CASE WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative' ELSE 'neutral' END AS sentiment_label
   FROM (SELECT round(coalesce(v / sqrt(v * v + 15), 0), 9) AS c FROM documents d LEFT JOIN hit h ON h.doc_id = d.doc_id)) GROUP BY 1""")
 def sentiment_labels(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     sums = sentiment.lexicon_sums(docs, "doc_id", "text", learned_lexicon(spark, sf))
     label = sentiment.sentiment_label(F.round("compound", 9)).alias("sentiment_label")
     return tidy(sums.select(label).groupBy("sentiment_label").agg(F.count("*").alias("n")))
@@ -86,7 +84,7 @@ FROM (SELECT {key}, CAST(length(coalesce(text, '')) AS DOUBLE) AS n FROM {source
 
 @query("I4_I5_model_scores", MODEL_SQL.format(key="doc_id", source="documents"))
 def model_scores(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     return tidy(sentiment.score_sentiment(
         docs, "doc_id", "text", "model", load=load_length_model, labels=["POSITIVE", "NEGATIVE"]))
 
@@ -143,10 +141,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat('42:', CAS
 shares AS (SELECT y, n, total, (total - ceil(total * 0.2)) AS train, (total - ceil(total * 0.2)) * n / total AS s FROM sizes),
 quota AS (SELECT y, n - (floor(s) + CASE WHEN row_number() OVER (ORDER BY round(s - floor(s), 9) DESC, y) <= train - sum(floor(s)) OVER () THEN 1 ELSE 0 END) AS take FROM shares)"""))
 def master_table(spark, sf):
-    from kudoscope.operators.sampling import mark_evaluation
-
     r, b, u = clean_tables(spark, sf)
-    df = mark_evaluation(master.master_table(r, b, u), 0.2)
+    df = master.split_master(r, b, u)
     return tidy(df.select(
         "review_id", "city", "state", "is_open", "business_stars", "business_review_count", "user_review_count",
         "user_average_stars", "user_fans", "review_char_len", "review_word_len", "review_is_weekend",
@@ -200,7 +196,7 @@ norm AS (SELECT doc_id, sqrt(sum(x * x)) AS z FROM raw GROUP BY doc_id)
 
 @query("I10_tfidf_weights", TFIDF_SQL + f"SELECT doc_id, term, {big('tf')} AS tf, {r6('x / z')} AS weight FROM raw JOIN norm USING (doc_id)")
 def tfidf_weights(spark, sf):
-    return tidy(tfidf.tfidf_long(table(spark, sf, "documents"), "doc_id", "text", term_settings()))
+    return tidy(tfidf.tfidf_long(documents(spark, sf), "doc_id", "text", term_settings()))
 
 
 @query("I10_tfidf_vector_sums", TFIDF_SQL + f"""SELECT doc_id, {big('count(r.term)')} AS terms, (round(CAST(coalesce(sum(x / z), 0) AS DOUBLE), 5) + 0.0) AS weight_sum
@@ -209,7 +205,7 @@ def tfidf_vectors(spark, sf):
     """Row-wise vectors of the fitted model (no shuffle of documents)."""
     from pyspark.ml.functions import vector_to_array
 
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     model = tfidf.fit_tfidf(docs, "text", term_settings())
     values = vector_to_array("tfidf")
     return tidy(model.transform(docs).select(
@@ -245,7 +241,7 @@ def impute_and_scale(spark, sf):
 def master_split(spark, sf):
     """Both sides of the split, cut from one kept master table."""
     r, b, u = clean_tables(spark, sf)
-    return master.train_eval(keep(master.master_table(r, b, u)))
+    return master.sides_of(keep(master.split_master(r, b, u)))
 
 
 SPLIT_CTES = (
@@ -299,5 +295,5 @@ def checked(spark, sf):
 
 @query("I16_phrases_tied_to_quality")
 def phrases(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     return tidy(tfidf.rank_phrases(docs, "quality", "text", term_settings(500), 25, max_iter=50))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kudoscope.catalog.base import business, review_base, reviews, sql, table
+from kudoscope.catalog.base import business, documents, review_base, reviews, sql, table
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.functions import categories, dates, text, votes
 
@@ -21,7 +21,7 @@ TEXT_STATS_SQL = f"""{big('length(t)')} AS text_len_chars, {big(f'len({WORDS})')
 
 @query("H1_H5_I1_text_stats", f"SELECT doc_id, {TEXT_STATS_SQL} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def text_stats(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     return tidy(d.select("doc_id", *[e.alias(c) for c, e in text.text_stats(F.col("text")).items()]))
 
 
@@ -34,7 +34,7 @@ def conversation_stats(spark, sf):
 @query("H3_mean_token_length", r"""SELECT doc_id, (round(CAST(CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w) ELSE 0 END AS DOUBLE), 6) + 0.0) AS avg_token_length
 FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+') AS w FROM documents)""")
 def mean_token_length(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     return tidy(d.select("doc_id", text.mean_token_length(F.col("text")).alias("avg_token_length")))
 
 
@@ -62,7 +62,7 @@ def primary_means(spark, sf):
   {r6(f'CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN ({STOP_SQL}))) / len(w) ELSE 0 END')} AS stopword_ratio
 FROM (SELECT doc_id, {TOKENS} AS w FROM documents)""")
 def lexical(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
+    d = documents(spark, sf).select("doc_id", text.tokens(F.col("text")).alias("w"))
     return tidy(d.select("doc_id", text.lexical_richness(F.col("w")).alias("lexical_richness"),
                          text.stop_word_ratio(F.col("w"), STOPS).alias("stopword_ratio")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kudoscope.catalog.base import reviews, sql, table
+from kudoscope.catalog.base import documents, reviews, sql, table
 from kudoscope.catalog.features import clean_tables, learned_lexicon, master_split, term_settings
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.models import regression, text_models, weights
@@ -162,7 +162,7 @@ def predictions_table(spark, sf):
 
 
 def _text_rows(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     return docs.select("doc_id", "text", F.col("n_chars").alias("review_char_len"),
                        F.col("quality").alias("target_is_useful"), (F.length("text") / 100).cast("int").alias("target_useful_votes"))
 
@@ -195,7 +195,7 @@ def scenario_sweep(spark, sf):
     base = sweep.RunSettings(models=regression.ModelSettings(("baseline_mean", "linear_log", "hurdle"), **QUICK))
     chosen = {k: dict(v) for k, v in sweep.DEFAULT_SCENARIOS.items()}
     chosen["tfidf_3k"]["features.terms"] = term_settings(200)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    docs = documents(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
     scores = sentiment.lexicon_scores(docs, "review_id", "text", learned_lexicon(spark, sf))
     return tidy(sweep.sweep(train.drop(*drop), held.drop(*drop), base, chosen, scores).drop("finished_at", "overrides"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kudoscope.catalog.base import business, review_base, reviews, sql, table, users, with_text
+from kudoscope.catalog.base import business, documents, review_base, reviews, sql, table, users, with_text
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.functions import categories, dates, text, votes
 from kudoscope.operators import aggregates, correlation, joins, ranks, reshape, sampling
@@ -45,7 +45,7 @@ def attach_users(spark, sf):
 FROM documents d LEFT JOIN (SELECT doc_id, quality, CAST(toxic AS VARCHAR) AS lang_sent FROM labels) l ON l.doc_id = d.doc_id""")
 def one_to_one(spark, sf):
     side = table(spark, sf, "labels").select("doc_id", "quality", F.col("toxic").cast("string").alias("lang"))
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    docs = documents(spark, sf).select("doc_id", "n_chars", "lang")
     df = joins.attach_one_to_one(docs, side, "doc_id", "_sent")
     return tidy(df.select("doc_id", "n_chars", "quality", "lang_sent"))
 
@@ -231,7 +231,7 @@ def label_shares(spark, sf):
   SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}')) AS token FROM documents)
 GROUP BY token ORDER BY count(*) DESC, token LIMIT 30""")
 def token_counts(spark, sf):
-    return tidy(aggregates.token_counts(table(spark, sf, "documents"), "text", 30))
+    return tidy(aggregates.token_counts(documents(spark, sf), "text", 30))
 
 
 @query("D14_sentiment_summary", sql(f"""SELECT {big('count(*)')} AS total_reviews, {r6('avg(s)')} AS sentiment_score_mean, {r6('min(s)')} AS sentiment_score_min,

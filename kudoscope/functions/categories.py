@@ -58,8 +58,13 @@ def normalize(parts: Column, parents: tuple[str, ...] = GENERIC_PARENTS) -> Colu
     kept = F.filter(
         F.transform(flat, strip), lambda x: (x != "") & ~F.lower(x).isin(*parents)
     )
-    folded = F.transform(kept, F.lower)
-    return F.filter(kept, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+    def first_spellings(names: Column) -> Column:
+        folded = F.transform(names, F.lower)
+        return F.filter(names, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+    # the one-entry list binds the names, so they are computed once per row
+    return F.get(F.transform(F.array(kept), first_spellings), F.lit(0))
 
 
 def primary(c: Column) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 # Patterns that define a word, a blank and a capital.
 BLANK = r"[\s\x1c-\x1f]"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 CAPITAL = r"\p{IsUppercase}"
 WORD_RUN = r"(?U)\w+"
 TOKEN_RUN = r"(?U)\w{2,}"
@@ -31,7 +35,7 @@ def filled(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove blanks of any kind (not only spaces) at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def char_length(c: Column) -> Column:

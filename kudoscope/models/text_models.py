@@ -60,10 +60,19 @@ def model_name(target: str, recipe: str, kind: str) -> str:
     return f"{target}__{recipe}__{kind}".replace(" ", "_").lower()
 
 
-def estimator(kind: str, seed: int = 42, trees: int = TREES, depth: int = 10, weighted: bool = True):
+def estimator(
+    kind: str,
+    rows: int,
+    seed: int = 42,
+    trees: int = TREES,
+    depth: int = 10,
+    weighted: bool = True,
+):
     """Spark ML estimator; class weights are read from ``weight``.
 
-    Spark's forests grow level by level, so their depth is bounded.
+    The linear classifiers carry an L2 penalty of strength one on the summed
+    loss: one over ``rows`` on Spark's averaged loss.  Spark's forests grow
+    level by level, so their depth is bounded.
     """
     name = model_type(kind)
     common = {"featuresCol": "features", "labelCol": "label"}
@@ -72,9 +81,11 @@ def estimator(kind: str, seed: int = 42, trees: int = TREES, depth: int = 10, we
     if weighted:
         common["weightCol"] = "weight"
     if name == "logistic_regression":
-        return LogisticRegression(maxIter=1000, **common)
+        return LogisticRegression(
+            maxIter=1000, regParam=1.0 / max(rows, 1), standardization=False, **common
+        )
     if name == "linear_svc":
-        return LinearSVC(**common)
+        return LinearSVC(regParam=1.0 / max(rows, 1), standardization=False, **common)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **common)
 
 
@@ -200,7 +211,7 @@ def train_text_model(
         data = balanced_weights(data, "label")
     data = keep(data)
     try:
-        model = Pipeline(stages=[estimator(kind, seed, trees, depth, weighted)]).fit(data)
+        model = Pipeline(stages=[estimator(kind, data.count(), seed, trees, depth, weighted)]).fit(data)
     finally:
         release(data)
     return PipelineModel(stages=[features, model])

@@ -56,24 +56,24 @@ def group_summary(
 
     ``top`` keeps the groups with most rows.  The table is read once: size,
     mean and the exact median all come from the ``(group, value)`` counts.
+    Both uses of the counts are kept free of filters (null values weigh
+    nothing in the median instead), so Spark shuffles them once and reuses it.
     """
+    x = F.col(value)
     freq = (
         df.where(F.col(key).isNotNull())
         .groupBy(key, value)
         .agg(F.count("*").alias("n"))
+        .withColumn("_known", F.when(x.isNotNull(), F.col("n")).otherwise(0))
     )
-    x = F.col(value)
     sizes = freq.groupBy(key).agg(
         F.sum("n").cast("bigint").alias("n"),
-        (
-            F.sum(F.when(x.isNotNull(), x * F.col("n")))
-            / F.nullif(F.sum(F.when(x.isNotNull(), F.col("n"))), F.lit(0))
-        ).alias("mean"),
+        (F.sum(x * F.col("_known")) / F.nullif(F.sum("_known"), F.lit(0))).alias("mean"),
     )
     if top is not None:
         sizes = sizes.orderBy(F.desc("n"), F.asc(key)).limit(top)
-        freq = freq.join(F.broadcast(sizes.select(key)), key, "left_semi")
-    medians = ranks.quantiles_of(freq.where(x.isNotNull()), value, [0.5], ["median"], [key], discrete)
+        freq = freq.join(F.broadcast(sizes.select(key)), key)
+    medians = ranks.quantiles_of(freq, value, [0.5], ["median"], [key], discrete, count="_known")
     return (
         sizes.join(medians, key, "left")
         .select(key, "mean", "median", "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kudoscope.operators import clean
 from kudoscope.plans import feature_matrix, master, sweep
@@ -24,25 +25,24 @@ def clean_dataset(
 def build_datasets(
     spark: SparkSession, clean_root: str, data_root: str, fraction: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Join the cleaned tables, derive targets, split and write both sides.
+    """Join the cleaned tables, derive targets and split, in one write.
 
-    The joined table is written once and both sides are cut from it, so the
-    joins do not run again for each pass of the split.
+    The table is partitioned by side, so each side is read without the other.
     """
     reviews = readers.read_clean(spark, "reviews", clean_root)
     if reviews is None:
         raise FileNotFoundError(f"no cleaned reviews in {clean_root}")
-    table = master.master_table(
+    table = master.split_master(
         reviews,
         readers.read_clean(spark, "business", clean_root),
         readers.read_clean(spark, "users", clean_root),
+        fraction,
+        seed,
     )
-    path = sinks.write_parquet(table, f"{data_root}/master.parquet")
-    train, held = master.train_eval(spark.read.parquet(path), fraction, seed)
-    out = []
-    for side, df in (("training", train), ("evaluation", held)):
-        out.append(spark.read.parquet(sinks.write_parquet(df, f"{data_root}/{side}.parquet")))
-    return out[0], out[1]
+    sided = table.withColumn("side", F.when(F.col("is_eval"), "eval").otherwise("train")).drop("is_eval")
+    path = sinks.write_parquet(sided, f"{data_root}/master.parquet", partition_by=["side"])
+    written = spark.read.parquet(path)
+    return tuple(written.where(F.col("side") == side).drop("side") for side in ("train", "eval"))
 
 
 def run(
