@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from kudoscope.catalog.base import business, documents, review_base, reviews, sql, table, users, with_text
 from kudoscope.catalog.functions import STOP_SQL, STOPS, TEXT_STATS_SQL, TOKENS
@@ -221,8 +222,8 @@ def numeric_groups(spark, sf):
     return tidy(df.select("review_id", *chosen))
 
 
-@query("I13_median_impute", sql(f"""SELECT {big('review_id')} AS review_id, {r6('coalesce(business_stars, (SELECT median(business_stars) FROM review)) / (SELECT max(abs(business_stars)) FROM review)')} AS business_stars,
-  {r6('coalesce(is_open, (SELECT median(is_open) FROM review)) / (SELECT max(abs(is_open)) FROM review)')} AS is_open FROM review"""))
+@query("I13_median_impute", sql(f"""SELECT {big('review_id')} AS review_id, {r6('coalesce(business_stars, (SELECT median(business_stars) FROM review)) / (SELECT coalesce(nullif(max(abs(business_stars)), 0), 1) FROM review)')} AS business_stars,
+  {r6('coalesce(is_open, (SELECT median(is_open) FROM review)) / (SELECT coalesce(nullif(max(abs(is_open)), 0), 1) FROM review)')} AS is_open FROM review"""))
 def impute_and_scale(spark, sf):
     from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
