@@ -210,7 +210,7 @@ def spearman_matrix(spark, sf):
     df = review_base(spark, sf, ["users", "text"]).withColumns(
         {"words": text.word_count(F.col("text")), "chars": F.length("text")}
     )
-    return tidy(correlation.spearman(df, correlation.all_pairs(MATRIX)))
+    return tidy(correlation.spearman_matrix(df, MATRIX, "review_id"))
 
 
 MISSING = ["review_id", "business_id", "city", "user_fans", "text"]

@@ -8,7 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kudoscope.operators.ranks import running_total
+from kudoscope.operators.joins import SMALL_TABLE_ROWS, salted_lookup
+from kudoscope.operators.ranks import long_form, running_total
+from kudoscope.session import keep
 
 Pair = tuple[str, str]
 
@@ -86,3 +88,49 @@ def spearman(df: DataFrame, pairs: Sequence[Pair], discrete: bool = False) -> Da
         ]
     )
     return grouped_spearman(df.select(F.inline(rows)), ["left", "right"], "x", "y", discrete)
+
+
+def spearman_matrix(df: DataFrame, columns: Sequence[str], row_key: str) -> DataFrame:
+    """All pairs of many columns: ``left``, ``right``, ``rows``, ``correlation``.
+
+    :func:`spearman` folds the pairs of every two columns, which costs one
+    pass of rows per pair when values hardly repeat.  Here a column without
+    nulls is ranked once for all its pairs: a rank table of checked size is
+    broadcast, a larger one is joined with its hot values salted.  Columns
+    with nulls are ranked pair by pair, as each pair has rows of its own.
+    """
+    columns = list(columns)
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    whole = [c for c in columns if nulls[c] == 0]
+    rest = [p for p in all_pairs(columns) if not set(p) <= set(whole)]
+    parts = []
+    if len(whole) > 1:
+        parts.append(_ranked_once(df, whole, row_key))
+    if rest:
+        parts.append(spearman(df, rest))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _ranked_once(df: DataFrame, columns: list[str], row_key: str) -> DataFrame:
+    counts = long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+    cum = running_total(counts, "value", ["n"], ["column"])
+    average = F.col("n_upto") - (F.col("n") - 1) / F.lit(2.0)
+    table = keep(cum.select("column", "value", "n", average.alias("rank")))
+    sizes = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
+    ranked = df.select(row_key, *[F.col(c).cast("double").alias(c) for c in columns])
+    for c in columns:
+        one = table.where(F.col("column") == c).select(
+            F.col("value").alias(c), "n", F.col("rank").alias(f"_r_{c}")
+        )
+        if sizes[c] <= SMALL_TABLE_ROWS:
+            ranked = ranked.join(F.broadcast(one.drop("n")), c, "left")
+        else:
+            ranked = salted_lookup(ranked, one, [c], "n", F.col(row_key))
+    pairs = all_pairs(columns)
+    found = pearson(ranked, [(f"_r_{a}", f"_r_{b}") for a, b in pairs])
+    rows = df.agg(F.count("*")).scalar()
+    bare = {c: F.regexp_replace(c, "^_r_", "").alias(c) for c in ("left", "right")}
+    return found.select(bare["left"], bare["right"], rows.alias("rows"), "correlation")

@@ -19,6 +19,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kudoscope.functions import text
@@ -100,10 +101,9 @@ def tfidf_long(
     raw = target.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn(
         "_raw", F.col("tf") * F.col("idf")
     )
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return raw.join(norms, key).select(
-        key, "term", "tf", (F.col("_raw") / F.col("_norm")).alias("weight")
-    )
+    # a row has at most max_features terms, so its window is small
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))
+    return raw.select(key, "term", "tf", (F.col("_raw") / norm).alias("weight"))
 
 
 @dataclass

@@ -58,8 +58,7 @@ def report_base(
 
 
 def report_tables(base: DataFrame) -> dict[str, DataFrame]:
-    """All report tables by name; nothing runs until one is read or written."""
-    present = [c for c in CORRELATED if c in base.columns]
+    """Report tables by name; nothing runs until one is read or written."""
     tables = {
         "helpful_summary": aggregates.describe(base, ["helpful"], discrete=True),
         "helpful_histogram": aggregates.histogram(base, "helpful_log1p", BINS),
@@ -77,7 +76,6 @@ def report_tables(base: DataFrame) -> dict[str, DataFrame]:
             "decile",
             "helpful",
         ),
-        "spearman": correlation.spearman(base, correlation.all_pairs(present)),
         "distinct_ids": aggregates.distinct_counts(base, ["business_id", "user_id"]),
     }
     if "user_fans" in base.columns:
@@ -85,13 +83,18 @@ def report_tables(base: DataFrame) -> dict[str, DataFrame]:
     return tables
 
 
+def correlations(base: DataFrame, key: str = "review_id") -> DataFrame:
+    """Spearman matrix of the report's numeric columns."""
+    return correlation.spearman_matrix(base, [c for c in CORRELATED if c in base.columns], key)
+
+
 def run_report(base: DataFrame, folder: str) -> dict[str, str]:
     """Write every table; the base is computed once for all of them."""
     kept = keep(base)
     try:
         return {
             name: sinks.write_parquet(table, f"{folder}/{name}.parquet")
-            for name, table in report_tables(kept).items()
+            for name, table in {**report_tables(kept), "spearman": correlations(kept)}.items()
         }
     finally:
         release(kept)

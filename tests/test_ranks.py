@@ -94,6 +94,23 @@ def test_correlations_with_nulls_and_constants(spark):
         assert got[("a", "c")] is None
 
 
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_spearman_matrix(spark, monkeypatch, small):
+    monkeypatch.setattr(correlation, "SMALL_TABLE_ROWS", small)
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"i": range(400), "a": rng.integers(0, 3, 400).astype(float), "b": rng.normal(size=400), "c": rng.normal(size=400), "k": 2.0})
+    pdf.loc[::6, "c"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("c", F.when(~F.isnan("c"), F.col("c")))
+    rows = correlation.spearman_matrix(df, ["a", "b", "c", "k"], "i").collect()
+    want = pdf[["a", "b", "c"]].corr(method="spearman")
+    assert len(rows) == 6
+    for r in rows:
+        if "k" in (r["left"], r["right"]):
+            assert r["correlation"] is None
+        else:
+            assert r["correlation"] == pytest.approx(want.loc[r["left"], r["right"]])
+
+
 def test_group_summary_with_nulls(spark):
     rows = [("x", 1.0), ("x", None), ("x", 4.0), ("y", None), ("z", 2.0), (None, 9.0)]
     out = aggregates.group_summary(spark.createDataFrame(rows, "k string, v double"), "k", "v", discrete=False)
