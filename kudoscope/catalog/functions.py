@@ -19,7 +19,7 @@ TEXT_STATS_SQL = f"""{big('length(t)')} AS text_len_chars, {big(f'len({WORDS})')
   {big("length(t) - length(replace(t, '!', ''))")} AS exclaim_count, {big("length(t) - length(replace(t, '?', ''))")} AS question_count"""
 
 
-@query("H1_H5_I1_text_stats", f"SELECT doc_id, {TEXT_STATS_SQL} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+@query("H1_H2_H3_H4_H5_I1_text_stats", f"SELECT doc_id, {TEXT_STATS_SQL} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def text_stats(spark, sf):
     d = documents(spark, sf)
     return tidy(d.select("doc_id", *[e.alias(c) for c, e in text.text_stats(F.col("text")).items()]))
@@ -67,7 +67,7 @@ def lexical(spark, sf):
                          text.stop_word_ratio(F.col("w"), STOPS).alias("stopword_ratio")))
 
 
-@query("H9_H12_calendar", sql(f"""SELECT {big('review_id')} AS review_id, {big('year(date)')} AS review_year, {big('month(date)')} AS review_month,
+@query("H9_H10_H11_H12_calendar", sql(f"""SELECT {big('review_id')} AS review_id, {big('year(date)')} AS review_year, {big('month(date)')} AS review_month,
   {big('isodow(date) - 1')} AS review_day_of_week, {big('isodow(date) >= 6')} AS review_is_weekend, {big('week(date)')} AS review_weekofyear,
   dayname(date) AS weekday FROM review"""))
 def calendar(spark, sf):

@@ -146,7 +146,7 @@ def _numeric_tables(spark, sf):
 QUICK = dict(boosted_rounds=8, boosted_depth=4, poisson_iterations=25, logistic_iterations=50)
 
 
-@query("J3_J5_J19_model_comparison")
+@query("J3_J4_J5_J19_model_comparison")
 def model_comparison(spark, sf):
     """Metrics of all five models on the evaluation side of the split."""
     run = training.compare_models(_numeric_tables(spark, sf), regression.ModelSettings(**QUICK))

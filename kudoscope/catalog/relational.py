@@ -170,7 +170,7 @@ def distinct_counts(spark, sf):
     return tidy(aggregates.distinct_counts(review_base(spark, sf, ["city"]), ["business_id", "user_id", "city"]))
 
 
-@query("D8_age_from_newest", f"SELECT event_id, {big('floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 86400000000)')} AS age_days FROM events")
+@query("D8_H13_age_from_newest", f"SELECT event_id, {big('floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 86400000000)')} AS age_days FROM events")
 def age_from_newest(spark, sf):
     e = table(spark, sf, "events")
     newest = e.agg(F.max("ts")).scalar()
