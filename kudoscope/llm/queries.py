@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kudoscope.llm import quality_rules
+from kudoscope.llm import personal_data, quality_rules
 from kudoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ SELECT *, NOT base_failed AND n_lost_words <= n_words * {quality_rules.MAX_LOST}
 @_query("op6_quality_rules", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_table(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.personal_table(docs, personal_data.fit(docs))
