@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kudoscope.llm import decontaminate, personal_data, quality_rules
+from kudoscope.llm import byte_pairs, decontaminate, near_duplicates, personal_data, quality_rules
 from kudoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def vocabulary() -> byte_pairs.Vocabulary:
+    return byte_pairs.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op7_byte_pairs")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.token_table(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@_query("op1_near_duplicates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.cluster_table(table(spark, sf_dir, "documents"))
