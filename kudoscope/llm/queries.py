@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kudoscope.llm import byte_pairs, decontaminate, near_duplicates, personal_data, quality_rules
+from kudoscope.llm import byte_pairs, decontaminate, near_duplicates, personal_data, quality_rules, repeated_text
 from kudoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_near_duplicates")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.cluster_table(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_repeated_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_text.repeat_table(table(spark, sf_dir, "documents"))
