@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kudoscope.llm import byte_pairs, decontaminate, near_duplicates, personal_data, quality_rules, repeated_text
+from kudoscope.llm import (
+    byte_pairs,
+    decontaminate,
+    main_text,
+    near_duplicates,
+    personal_data,
+    perspectives,
+    quality_rules,
+    repeated_text,
+    token_counts,
+    url_filters,
+)
 from kudoscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +141,111 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_repeated_text")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_text.repeat_table(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id, turn, role, text) AS copy FROM conversations),
+sides AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+s AS (SELECT t.*, perspective,
+             CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = perspective THEN '<|assistant|>' || chr(10)
+                  ELSE '<|user|>' || role || chr(10) END AS head
+      FROM t JOIN sides USING (conv_id)),
+g AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM s),
+p AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text, copy) AS BIGINT) AS "end" FROM g)
+SELECT conv_id, perspective, turn, segment, CAST("end" - length(segment) AS BIGINT) AS start, "end",
+       CASE WHEN role = perspective THEN CAST("end" - length(segment) + length(head) AS BIGINT) ELSE "end" END AS mask_start,
+       "end" AS mask_end, role = perspective AS trained
+FROM p
+"""
+
+
+@_query("op3_perspectives", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.segments(table(spark, sf_dir, "conversations"))
+
+
+@_query("op4_main_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+@_query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vocabulary()
+    lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), v.ranks, v.pattern)
+    return token_counts.context_table(token_counts.histogram(lengths))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a fetch time that follows from their id (the table has none)."""
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 365 * 86400 + F.col("page_id") % 86399)
+    return table(spark, sf_dir, "pages").select("page_id", "url", at.alias("fetched_at"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries that follow from the pages' hosts: every host is listed on
+    a day given by its length and its pages, taken off after some weeks, and
+    one in two is listed again on a second list."""
+    hosts = (
+        pages.select(url_filters.normal_host(F.col("url")).alias("pattern"), "page_id")
+        .where("pattern != ''")
+        .groupBy("pattern")
+        .agg(F.min("page_id").alias("k"))
+        .withColumn("n", F.length("pattern").cast("bigint"))
+    )
+    day = F.lit(1704067200) + (F.col("n") * 11 + F.col("k")) % 300 * 86400
+
+    def change(name: Column, action: str, at: Column) -> Column:
+        return F.struct(name.alias("list_name"), F.lit(action).alias("action"), at.alias("s"))
+
+    spam = F.lit("spam")
+    changes = F.array(
+        change(spam, "add", day),
+        change(spam, "remove", day + (F.col("n") % 7 + 1) * 7 * 86400),
+        change(spam, "add", day + (F.col("n") % 7 + 5) * 14 * 86400),
+        change(F.when(F.col("k") % 2 == 0, F.lit("adult")), "add", day + 30 * 86400),
+    )
+    return hosts.select("pattern", F.explode(changes).alias("c")).select(
+        "c.list_name", "pattern", "c.action", F.timestamp_seconds("c.s").alias("at")
+    )
+
+
+OP10_SQL = r"""
+WITH cap AS (SELECT page_id, url, make_timestamp((1704067200 + page_id % 365 * 86400 + page_id % 86399) * 1000000) AS fetched_at,
+       regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.|\.$', '') AS host FROM pages),
+h AS (SELECT host AS pattern, min(page_id) AS k, length(host) AS n FROM cap WHERE host <> '' GROUP BY host),
+d AS (SELECT *, 1704067200 + (n * 11 + k) % 300 * 86400 AS day FROM h),
+e AS (SELECT 'spam' AS list_name, pattern, 'add' AS action, day AS s FROM d
+      UNION ALL SELECT 'spam', pattern, 'remove', day + (n % 7 + 1) * 7 * 86400 FROM d
+      UNION ALL SELECT 'spam', pattern, 'add', day + (n % 7 + 5) * 14 * 86400 FROM d
+      UNION ALL SELECT 'adult', pattern, 'add', day + 30 * 86400 FROM d WHERE k % 2 = 0),
+u AS (SELECT list_name, pattern, s, max(action) AS action FROM e GROUP BY ALL),
+v AS (SELECT *, lead(s) OVER (PARTITION BY list_name, pattern ORDER BY s) AS until FROM u),
+i AS (SELECT list_name, pattern, make_timestamp(s * 1000000) AS f, coalesce(make_timestamp(until * 1000000), TIMESTAMP '9999-01-01') AS t FROM v WHERE action = 'add'),
+hit AS (SELECT page_id, url, fetched_at, list_sort(list(DISTINCT list_name)) AS lists FROM cap, i
+        WHERE (host = pattern OR ends_with(host, '.' || pattern)) AND fetched_at >= f AND fetched_at < t GROUP BY ALL)
+SELECT cap.page_id, cap.url, strftime(cap.fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at,
+       coalesce(array_to_string(lists, ','), '') AS lists, lists IS NULL AS kept
+FROM cap LEFT JOIN hit USING (page_id, url, fetched_at)
+"""
+
+
+@_query("op10_url_filters", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = captures(spark, sf_dir)
+    found = url_filters.filtered(seen, list_entries(seen))
+    return found.select(
+        "page_id",
+        "url",
+        F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"),
+        F.array_join("lists", ",").alias("lists"),
+        "kept",
+    )
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
