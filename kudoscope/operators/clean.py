@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -108,10 +109,24 @@ def popular(df: DataFrame, at_least: int | None, votes: str = "total_votes") ->
 
     Must run before the vote columns are dropped as leakage.
     """
-    if not at_least or at_least <= 0 or votes not in df.columns:
-        return df
-    kept = df.where(F.coalesce(F.col(votes), F.lit(0)) >= at_least)
-    return df if kept.isEmpty() else kept
+    return popular_sides(df, at_least=at_least, votes=votes)[0]
+
+
+def popular_sides(
+    *sides: DataFrame, at_least: int | None, votes: str = "total_votes"
+) -> tuple[DataFrame, ...]:
+    """Rows with enough votes on every side, or, with a warning, all sides as
+    they are if one of them would lose all its rows."""
+    if not at_least or at_least <= 0:
+        return sides
+    if any(votes not in df.columns for df in sides):
+        warnings.warn(f"no column {votes}: rows are not filtered by votes", stacklevel=2)
+        return sides
+    kept = tuple(df.where(F.coalesce(F.col(votes), F.lit(0)) >= at_least) for df in sides)
+    if any(df.isEmpty() for df in kept):
+        warnings.warn(f"no row has {at_least} votes: rows are not filtered by votes", stacklevel=2)
+        return sides
+    return kept
 
 
 def cap_rows(df: DataFrame, n: int | None) -> DataFrame:

@@ -102,7 +102,7 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     """Per distinct score: ``pos``, ``neg`` and how many lie at or above it."""
     hit = F.col(label).cast("int")
     freq = (
-        df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+        df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(
             F.sum(F.when(hit == 1, 1).otherwise(0)).alias("pos"),

@@ -30,6 +30,8 @@ def ordered_bucket(value: Column) -> Column:
     octave = F.floor(F.log2(size))
     cell = octave * CELLS + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * CELLS)
     offset = 1100 * CELLS  # below the smallest octave of a double
+    last = F.lit(2 * offset)  # infinite values have no octave
+    cell = F.when(size == float("inf"), last).otherwise(cell)
     return (
         F.when(value > 0, cell + offset).when(value < 0, -(cell + offset)).otherwise(0)
     ).cast("bigint")

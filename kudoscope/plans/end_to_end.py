@@ -71,8 +71,7 @@ def run(
     done["datasets"] = (train, held)
     if not (build_features or model):
         return done
-    train = clean.popular(train, settings.min_total_votes)
-    held = clean.popular(held, settings.min_total_votes)
+    train, held = clean.popular_sides(train, held, at_least=settings.min_total_votes)
     tables = feature_matrix.feature_tables(train, held, settings.features)
     if build_features:
         done["features"] = tables.write(f"{work_root}/features")

@@ -90,3 +90,13 @@ def test_date_parts_filled(spark):
     rows = clean.fill_date_parts(df).orderBy("review_year").collect()
     assert [r["review_year"] for r in rows] == [1999, 2021]
     assert rows[0]["review_day_of_week"] == 5
+
+
+def test_both_sides_are_filtered_or_none(spark):
+    high = spark.createDataFrame([(1, 5), (2, 0)], "id int, total_votes int")
+    low = spark.createDataFrame([(3, 1)], "id int, total_votes int")
+    with pytest.warns(UserWarning):
+        train, held = clean.popular_sides(high, low, at_least=3)
+    assert (train.count(), held.count()) == (2, 1)
+    train, held = clean.popular_sides(high, high, at_least=3)
+    assert (train.count(), held.count()) == (1, 1)

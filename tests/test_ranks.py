@@ -151,3 +151,11 @@ def test_metrics_edges(spark):
     assert (labels["precision"], labels["recall"], labels["f1"], labels["balanced_accuracy"]) == (0.0, 0.0, 0.0, 0.0)
     table = spark.createDataFrame([("a", float("nan")), ("b", 0.5), ("c", None)], "model string, rmse_log1p double")
     assert metrics.best_model(table).first()["model"] == "b"
+
+
+def test_infinite_values_rank_at_the_ends(spark):
+    from kudoscope.operators import ranks
+
+    rows = spark.createDataFrame([(float("inf"),), (1.0,), (-5e300,), (float("-inf"),)], "v double")
+    got = [r[0] for r in rows.orderBy(ranks.ordered_bucket(F.col("v"))).collect()]
+    assert got == [float("-inf"), -5e300, 1.0, float("inf")]

@@ -154,3 +154,13 @@ def test_overrides():
     assert out.features.terms.min_df == 2 and out.min_total_votes == 3 and base.min_total_votes == 0
     with pytest.raises(KeyError):
         sweep.with_overrides(base, {"features.absent": 1})
+
+
+def test_overwrite_replaces_all_partitions(spark, tmp_path):
+    from kudoscope.sources import sinks
+
+    path = str(tmp_path / "sides")
+    rows = spark.createDataFrame([(1, "train"), (2, "eval")], "v int, side string")
+    sinks.write_parquet(rows, path, partition_by=["side"])
+    sinks.write_parquet(rows.where("side = 'train'"), path, partition_by=["side"])
+    assert [r.v for r in spark.read.parquet(path).collect()] == [1]
