@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_BYTES = 96
-CHUNK_WORDS = 50_000
-KNOWN_WORDS = 1_000_000
-PART_WORDS = 300_000
+CHUNK_WORDS = 25_000
+KNOWN_WORDS = 400_000
+PART_WORDS = 150_000
 PLAIN_END = 0x100
 
 # g = word * 128 + place of the token's first byte;
@@ -86,7 +86,7 @@ class Vocabulary:
         self.pairs, self.made = np.array(pairs, dtype=np.int64), np.array(made, dtype=np.int64)
 
     def connect(self) -> duckdb.DuckDBPyConnection:
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         con.register("m", pa.table({"pair": self.pairs, "made": self.made}))
         con.execute("CREATE TABLE merges AS SELECT * FROM m")
         tokens = [t.hex() for t in self.ranks]
