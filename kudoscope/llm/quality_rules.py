@@ -111,8 +111,8 @@ def line_verdicts(lines: Column) -> Column:
     return F.transform(lines, judge)
 
 
-def assessed(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
-    """The table with a struct column of counts, verdict and cleaned text."""
+def assessment(text: str = "text") -> Column:
+    """Counts, cleaned text and verdict of a text column, as a struct."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n")
 
@@ -143,16 +143,15 @@ def assessed(docs: DataFrame, text: str = "text", into: str = "quality") -> Data
         kept = ~failed & (q["n_lost_words"] <= q["n_words"] * MAX_LOST)
         return F.struct(q.alias("counts"), failed.alias("base_failed"), kept.alias("kept"))
 
-    quality = let(
+    return let(
         line_verdicts(lines),
         lambda ls: let(F.flatten(F.transform(ls, lambda x: x["words"])), lambda ws: let(of(ws, ls), verdict)),
     )
-    return docs.withColumn(into, quality)
 
 
 def quality_table(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document."""
-    q = assessed(docs.select("doc_id", "text"))
+    q = docs.select("doc_id", assessment().alias("quality"))
     names = [
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "n_lines", "n_failed_lines", "n_lost_words",
@@ -166,7 +165,8 @@ def clean(docs: DataFrame) -> DataFrame:
     """Kept documents without their failing lines; all columns stay, and
     ``n_chars`` (where there is one) follows the text."""
     name = fresh(docs, "quality")
-    q = assessed(docs, into=name).where(F.col(f"{name}.kept"))
+    # generated, not filtered: a filter would assess every text twice
+    q = docs.select("*", F.explode(F.filter(F.array(assessment()), lambda x: x["kept"])).alias(name))
     text = F.col(f"{name}.counts.cleaned")
     changed = {"text": text, "n_chars": F.length(text).cast("bigint")}
     return q.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
