@@ -20,6 +20,9 @@ SETTINGS = {
 }
 
 
+KEPT = "kudoscope/kept"  # folder of the kept tables, inside the shared folder
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings above to a running session."""
     for key, value in SETTINGS.items():
@@ -51,14 +54,23 @@ def keep(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     if not folder:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder}/kudoscope/{uuid.uuid4().hex}"
+    path = f"{folder}/{KEPT}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:
-    """Give back the cache of :func:`keep`; files stay with the cluster's clean-up."""
+    """Give back a table of :func:`keep`: its cache, or its files.
+
+    Nothing that still has to read the table may be left."""
     df.unpersist()
+    if not shared_folder(df.sparkSession):
+        return
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/{KEPT}/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def work_folder(spark: SparkSession) -> str:

@@ -67,3 +67,15 @@ def test_pruned_scan(spark, tmp_path):
     spark.range(10).select("id", F.lit("x").alias("wide"), F.lit(1).alias("useful")).write.parquet(path)
     text = plan(ranks.quantiles(spark.read.parquet(path), "useful", [0.5], ["m"]))
     assert "wide" not in text
+
+
+def test_released_tables_leave_no_files(spark, tmp_path, monkeypatch):
+    from kudoscope import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    source = spark.range(10)
+    kept = session.keep(source)
+    assert kept.count() == 10 and list(tmp_path.rglob("*.parquet"))
+    session.release(kept)
+    assert not list(tmp_path.rglob("*.parquet"))
+    session.release(source)
