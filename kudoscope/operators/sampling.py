@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SMALL_SAMPLE = 10_000  # up to here a plain top-n is cheaper
-
 
 def hash_order(key: str, seed: int) -> Column:
     """Sort key of the seeded order: md5 of ``seed:key``, then the key."""
@@ -56,8 +54,6 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement."""
     if n <= 0:
         return df.limit(0)
-    if n <= SMALL_SAMPLE:
-        return df.orderBy(hash_order(key, seed)).limit(n)
     one = df.withColumn("_all", F.lit(1))
     wanted = df.sparkSession.range(1).select(
         F.lit(1).alias("_all"), F.lit(n).cast("bigint").alias("take_rows")

@@ -14,10 +14,9 @@ def labelled(spark, n=1000, share=0.3):
         F.col("id").alias("review_id"), (F.col("id") < int(n * share)).cast("int").alias("target_is_useful"))
 
 
-def test_sample_is_exact_and_repeatable(spark, monkeypatch):
+def test_sample_is_exact_and_repeatable(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     plain = {r["k"] for r in sampling.sample_rows(df, 700, "k", 1).collect()}
-    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 10)
     cut = {r["k"] for r in sampling.sample_rows(df.repartition(5), 700, "k", 1).collect()}
     assert plain == cut and len(cut) == 700
     assert sampling.sample_rows(df, 99999, "k").count() == 5000
