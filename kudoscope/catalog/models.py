@@ -139,24 +139,20 @@ def best_model(spark, sf):
 def _numeric_tables(spark, sf):
     train, held = master_split(spark, sf)
     drop = ("user_id", "business_id")
-    s = feature_matrix.FeatureSettings(top_cities=10, top_states=5, top_categories=10)
-    return feature_matrix.feature_tables(train.drop(*drop), held.drop(*drop), s)
-
-
-QUICK = dict(boosted_rounds=8, boosted_depth=4, poisson_iterations=25, logistic_iterations=50)
+    return feature_matrix.feature_tables(train.drop(*drop), held.drop(*drop), feature_matrix.FeatureSettings())
 
 
 @query("J3_J4_J5_J19_model_comparison")
 def model_comparison(spark, sf):
     """Metrics of all five models on the evaluation side of the split."""
-    run = training.compare_models(_numeric_tables(spark, sf), regression.ModelSettings(**QUICK))
+    run = training.compare_models(_numeric_tables(spark, sf), regression.ModelSettings())
     return tidy(run.metrics)
 
 
 @query("J19_predictions_table")
 def predictions_table(spark, sf):
     run = training.compare_models(
-        _numeric_tables(spark, sf), regression.ModelSettings(("baseline_mean", "linear_log", "hurdle"), **QUICK)
+        _numeric_tables(spark, sf), regression.ModelSettings(("baseline_mean", "linear_log", "hurdle"))
     )
     return tidy(run.predictions)
 
@@ -192,7 +188,7 @@ def count_regressor(spark, sf):
 def scenario_sweep(spark, sf):
     train, held = master_split(spark, sf)
     drop = ("user_id", "business_id")
-    base = sweep.RunSettings(models=regression.ModelSettings(("baseline_mean", "linear_log", "hurdle"), **QUICK))
+    base = sweep.RunSettings(models=regression.ModelSettings(("baseline_mean", "linear_log", "hurdle")))
     chosen = {k: dict(v) for k, v in sweep.DEFAULT_SCENARIOS.items()}
     chosen["tfidf_3k"]["features.terms"] = term_settings(200)
     docs = documents(spark, sf).select(F.col("doc_id").alias("review_id"), "text")

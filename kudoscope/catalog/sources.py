@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kudoscope.catalog.base import business, reviews, sql, table, users, with_text
 from kudoscope.catalog.cleaning import RAW_REVIEWS, raw_reviews
 from kudoscope.catalog.features import term_settings
-from kudoscope.catalog.models import QUICK, _text_rows
+from kudoscope.catalog.models import _text_rows
 from kudoscope.catalog.registry import big, query, tidy
 from kudoscope.models import regression, text_models
 from kudoscope.operators import clean, reshape
@@ -52,16 +52,22 @@ def clean_raw_reviews(spark, sf):
     )
 
 
-@query("A1_find_raw_files", """SELECT * FROM (VALUES ('business', 1), ('reviews', 1), ('tips', 0), ('users', 1)) v(dataset, folders)""")
+@query("A1_find_raw_files", f"""SELECT 'business' AS dataset, {big('count(*)')} AS rows FROM part UNION ALL SELECT 'reviews', {big('count(*)')} FROM orders
+UNION ALL SELECT 'users', {big('count(*)')} FROM customer UNION ALL SELECT 'tips', {big('0')}""")
 def find_files(spark, sf):
-    """One dataset in a folder of its own, two under their flat names, one absent."""
+    """Rows behind the files found: one dataset in a folder of its own, two
+    under their flat names, one absent."""
     root = work_folder(spark)
     raw_users(spark, sf).write.json(f"{root}/users")
     raw_business(spark, sf).write.json(f"{root}/yelp_academic_dataset_business.json")
     clean_raw_reviews(spark, sf).write.option("compression", "gzip").json(f"{root}/yelp_academic_dataset_review.json.gz")
     found = files.find_raw_files(spark, root, ["review", "Businesses", "user", "tip"])
-    rows = [(name, min(len(paths), 1)) for name, paths in found.items()]
-    return tidy(spark.createDataFrame(rows, "dataset string, folders int"))
+    lines = None
+    for name, paths in found.items():
+        read = spark.read.text(paths) if paths else spark.createDataFrame([], "value string")
+        counted = read.agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"))
+        lines = counted if lines is None else lines.unionByName(counted)
+    return tidy(lines)
 
 
 @query("A2_json_lines_scan", f"""WITH {RAW_REVIEWS}
@@ -179,7 +185,7 @@ def raw_to_metrics(spark, sf):
     raw_users(spark, sf).write.json(f"{root}/raw/users")
     raw_business(spark, sf).write.json(f"{root}/raw/business")
     clean_raw_reviews(spark, sf).write.json(f"{root}/raw/reviews")
-    settings = sweep.RunSettings(models=regression.ModelSettings(("baseline_mean", "linear_log", "hurdle"), **QUICK))
+    settings = sweep.RunSettings(models=regression.ModelSettings(("baseline_mean", "linear_log", "hurdle")))
     done = end_to_end.run(spark, f"{root}/raw", f"{root}/work", settings=settings)
     return tidy(done["metrics"])
 
