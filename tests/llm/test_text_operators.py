@@ -300,8 +300,8 @@ def _slow(word, ranks):
 # 8 decontamination
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 5])
-def test_decontamination(spark, docs, empty, block):
+@pytest.mark.parametrize("block, at_once", [(decontaminate.BLOCK_WORDS, 4), (5, 4), (5, 1)])
+def test_decontamination(spark, docs, empty, block, at_once):
     items = [(1, " ".join(BASE.split()[5:30])), (2, "One!"), (3, None), (4, ""), (None, words(12, 44)), (1, words(10, 45)), (7, "aa bb")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -318,15 +318,26 @@ def test_decontamination(spark, docs, empty, block):
                     hit |= set(range(k, k + n))
                     ids.add("" if i is None else str(i))
         want.append((r.doc_id, len(ws), len(hit), sorted(ids)))
-    found = decontaminate.matches(docs, bench, block)
+    found = decontaminate.matches(docs, bench, block, at_once)
     assert pairs_of(found, "doc_id", "n_words", "n_hit", "items") == sorted(want, key=str)
     assert found.where("doc_id = 4").first().longest_words == 25
-    kept = decontaminate.decontaminated(docs, bench, block)
+    kept = decontaminate.decontaminated(docs, bench, block, at_once)
     assert kept.columns == docs.columns and kept.count() == sum(not w[2] for w in want)
     assert decontaminate.matches(empty, bench).count() == 0
     assert decontaminate.matches(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_long_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    item = words(40, 5)
+    rows = [(k, " ".join(["zz"] + item.split()[k : k + 10] + ["zz"]), "l", "s", 0) for k in range(31)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for at_once in (1, 4):
+        assert {r.n_hit for r in decontaminate.matches(some, bench, 7, at_once).collect()} == {10}
+        assert decontaminate.decontaminated(some, bench, 7, at_once).count() == 0
+
+
 # 9 personal data
 
 
