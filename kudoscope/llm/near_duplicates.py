@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kudoscope.llm.common import forget, fresh, written
@@ -178,13 +178,40 @@ def cluster_table(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _row_key(docs: DataFrame) -> list[Column]:
+    """Two independent 64-bit hashes over all columns of a row, nulls told apart from what stands beside them."""
+    values = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return [F.xxhash64(F.lit(seed), *values) for seed in (1, 2)]
+
+
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays: the one of the smallest doc_id
-    (of rows that repeat that id, one)."""
-    found = clusters(docs, radius)
-    # equal ids: a component's id names its row, further rows of that id go
-    keep, n = fresh(docs, "keep"), fresh(docs, "n")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
-    stay = docs.join(first, docs["doc_id"].eqNullSafe(first[keep]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c != "doc_id"])
-    return stay.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
+    """One row of each component stays: the one of the smallest doc_id (null
+    last), of rows that share it the one of the smallest row hash.
+
+    Rows are picked as rows, never by doc_id: different texts under one id or
+    under null ids stay unless they are near duplicates.  Only rows equal in
+    all columns are taken as one."""
+    one, two = fresh(docs, "one"), fresh(docs, "two")
+    keyed = docs.select("*", *[k.alias(c) for k, c in zip(_row_key(docs), (one, two))])
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "one", "two")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, b.column(2), b.column(3)], names=["doc_id", "fp", "one", "two"])
+
+    # partial aggregates: a hot fingerprint is one row before it is shuffled
+    prints = written(
+        keyed.select(F.col("doc_id").cast("bigint"), "text", F.col(one).alias("one"), F.col(two).alias("two"))
+        .mapInArrow(of, "doc_id bigint, fp bigint, one bigint, two bigint")
+        .groupBy("fp")
+        .agg(F.min(order).alias("first"))
+    )
+    roots = components(links(prints.select("fp"), radius))
+    first = (
+        prints.join(roots, prints.fp == roots.node, "left")
+        .groupBy(F.coalesce("root", "fp").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.one").alias(one), F.col("first.two").alias(two))
+    )
+    return keyed.join(first, [one, two], "left_semi").dropDuplicates([one, two]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -131,6 +131,20 @@ def test_one_document_of_a_group_stays(docs, empty):
     assert near_duplicates.deduplicated(empty).count() == 0
 
 
+def test_different_texts_under_null_and_equal_ids_stay(spark):
+    texts = [words(60, 700 + k) for k in range(40)]
+    rows = [(None, t, "a") for t in texts[:20]] + [(5, t, "a") for t in texts[20:]]
+    rows += [(None, texts[0], "a"), (None, texts[0], "b"), (9, texts[1] + " tail", None), (5, texts[30], None), (7, texts[30], "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    near = lambda a, b: (int(plain_fingerprint(a), 16) ^ int(plain_fingerprint(b), 16)).bit_count() <= 3
+    assert not any(near(a, b) for k, a in enumerate(texts) for b in texts[:k])
+    kept = sorted(((r.doc_id, r.text) for r in near_duplicates.deduplicated(table).collect()), key=str)
+    want = [(9, texts[1] + " tail") if k == 1 and near(texts[1], texts[1] + " tail") else (None if k < 20 else 5, t) for k, t in enumerate(texts)]
+    if not near(texts[1], texts[1] + " tail"):
+        want.append((9, texts[1] + " tail"))
+    assert kept == sorted(want, key=str)
+
+
 def test_long_chains_contract(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1300)], "a long, b long")
     roots = near_duplicates.components(edges).collect()
