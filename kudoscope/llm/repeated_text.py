@@ -24,7 +24,8 @@ shuffle.  Groups are read as sorted streams; a trigger with more than
 
 Null is an empty text.  Texts under 100 bytes stay whole.  Repeated rows hold
 the same places, so neither is earlier than the other; a null id sorts last.
-Rows that give one id to different texts are told apart by a 16-bit hash.
+Rows that give one id (or none) to different texts are told apart by a 64-bit
+hash of the text; for the corpus order they hold the same places.
 """
 
 from __future__ import annotations
@@ -139,13 +140,13 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def _pack(a, tag, t, b) -> np.ndarray:
-    return (a.astype(np.int64) << 32) | (tag.astype(np.int64) << 16) | (t << 8) | b
+def _pack(a, t, b) -> np.ndarray:
+    return (a.astype(np.int64) << 32) | (t << 8) | b
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrase occurrences ``(key, phrase, doc, place)``; those with an earlier
-    twin in the batch come as settled runs ``(first phrase, end, doc, start)``."""
+    """Phrase occurrences ``(key, phrase, doc, tag, place)``; those with an
+    earlier twin in the batch come as settled runs ``(first phrase, end, doc, tag, start)``."""
     for batch in batches:
         ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for first, texts in _batches(batch.column(2)):
@@ -160,16 +161,16 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead = order[head]
             same[order] = (doc[order] != doc[lead]) | (p["a"][order] != p["a"][lead])
             new = ~same
-            out = [(p["key"][new], p["phrase"][new], doc[new], _pack(p["a"][new], tag[new], (p["t"] - p["a"])[new], (p["b"] - p["a"])[new]))]
+            out = [(p["key"][new], p["phrase"][new], doc[new], tag[new], _pack(p["a"][new], (p["t"] - p["a"])[new], (p["b"] - p["a"])[new]))]
             d = np.flatnonzero(same)
             if len(d):
                 start = np.concatenate([[True], (p["doc"][d[1:]] != p["doc"][d[:-1]]) | (p["a"][d[1:]] != p["b"][d[:-1]] + 1)])
                 i = np.flatnonzero(start)
                 j = np.concatenate([i[1:], [len(d)]]) - 1
                 i, j = d[i], d[j]
-                out.append((p["phrase"][i], p["b"][j] + WIDTH, doc[i], _pack(p["a"][i], tag[i], np.full(len(i), SETTLED), np.zeros(len(i), np.int64))))
+                out.append((p["phrase"][i], p["b"][j] + WIDTH, doc[i], tag[i], _pack(p["a"][i], np.full(len(i), SETTLED), np.zeros(len(i), np.int64))))
             for columns in out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "phrase", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "phrase", "doc", "tag", "place"])
 
 
 def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +179,13 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None  # first entry of the key at hand, not yet given out
     last = None  # key, phrase and leading place of the last row
     for batch in batches:
-        key, phrase, doc, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        key, phrase, doc, tag, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         settled = (place >> 8) & 255 == SETTLED
-        outs = [(doc[settled], place[settled] >> 32, phrase[settled], (place[settled] >> 16) & 65535, None)]
-        key, phrase, doc, place = (c[~settled] for c in (key, phrase, doc, place))
+        outs = [(doc[settled], place[settled] >> 32, phrase[settled], tag[settled], None)]
+        key, phrase, doc, tag, place = (c[~settled] for c in (key, phrase, doc, tag, place))
         n = len(key)
         if n:
-            a, tag, t, b = place >> 32, (place >> 16) & 65535, (place >> 8) & 255, place & 255
+            a, t, b = place >> 32, (place >> 8) & 255, place & 255
             fresh_key = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
             fresh = fresh_key | np.concatenate([[last is None or phrase[0] != last[1]], phrase[1:] != phrase[:-1]])
             lead = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
@@ -250,7 +251,8 @@ def _windows(rows: list[dict]) -> Iterator[tuple]:
 
 def _suffix_runs(rows: list[dict]) -> list[tuple]:
     """Removed windows, as ranges, of the dictionary entries of some triggers."""
-    rows = sorted(rows, key=lambda r: (r["doc"], r["start"]))
+    # by trigger, not start: texts that share an id may hold longer phrases before it
+    rows = sorted(rows, key=lambda r: (r["doc"], r["t"]))
     values, numbers = _windows(rows)
     order = np.argsort(values, kind="stable")
     v, m = values[order], numbers[order]
@@ -332,10 +334,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.pmod(F.xxhash64("text"), F.lit(65536)).alias("tag"),
+        F.xxhash64("text").alias("tag"),
         "text",
     )
-    found = rows.select("doc", "tag", "text").mapInArrow(_occurrences, "key bigint, phrase bigint, doc bigint, place bigint")
+    found = rows.select("doc", "tag", "text").mapInArrow(_occurrences, "key bigint, phrase bigint, doc bigint, tag bigint, place bigint")
     classified = written(
         found.repartition("key")
         .sortWithinPartitions("key", "phrase", "doc", "place")

@@ -192,6 +192,15 @@ def test_repeated_passages_in_odd_places(spark):
     assert got == cut_of(rows)
 
 
+def test_many_texts_without_an_id(spark):
+    shared = [words(45, 900 + k) for k in range(4)]
+    rows = [(None if k % 3 else 7, f"{words(22, 2000 + k)} {shared[k % 4] if k % 5 == 0 else k} {words(k % 20, 5000 + k)}") for k in range(900)]
+    rows += [(8, shared[0]), (None, None), (None, "short")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = pairs_of(repeated_text.repeat_table(table), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == cut_of(rows)
+
+
 # 3 perspectives
 
 
