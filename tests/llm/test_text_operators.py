@@ -241,6 +241,18 @@ def test_main_text(spark):
     assert main_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_that_do_not_drop_the_article():
+    article = "<article class='{a}'><header class='entry-header'><h1>Title</h1></header><p>Story of the day.</p><div class='{d}'>gone</div></article>"
+    for body, wrap, a in [("has-sidebar", "x", "no-comments"), ("comments-open", "has-header-image", "post"), ("no-comments", "content-with-sidebar", "comments-open"),
+                          ("x", "sidebar", "post"), ("header", "main-widget", "post")]:
+        for d in ("comments", "share-links", "post-ad", "relatedPosts"):
+            page = f"<html class='{body}'><body class='{body}'><div class='{wrap}'>{article.format(a=a, d=d)}</div><div class='sidebar'>side</div></body></html>"
+            assert main_text.extract(page, frozenset()) == "Title Story of the day.", (body, wrap, a, d)
+    teaser = "<div class='related'><article>Other story</article></div><ol class='comment-list'><li><article class='comment-body'>me too</article></ol>"
+    assert main_text.extract(f"<body><article>One.</article>{teaser}</body>", frozenset()) == "One."
+    assert main_text.extract(f"<body><p>A longer story here.</p>{teaser}</body>", frozenset()) == "A longer story here."
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
 def test_main_text_of_pages(spark):
     for r in QUERIES["op4_main_text"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
