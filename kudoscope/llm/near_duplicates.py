@@ -188,6 +188,9 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component stays: the one of the smallest doc_id (null
     last), of rows that share it the one of the smallest row hash.
 
+    Near means the digest contract of the query (three-word shingles, ``radius``
+    of 64 bits), not a Jaccard similarity.
+
     Rows are picked as rows, never by doc_id: different texts under one id or
     under null ids stay unless they are near duplicates.  Only rows equal in
     all columns are taken as one."""
