@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kudoscope.llm import (
     byte_pairs,
     decontaminate,
+    hard_negatives,
     main_text,
     near_duplicates,
     personal_data,
@@ -249,3 +250,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+OP12_SQL = r"""
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM r WHERE vec_id % 50 = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label, r.vec_id AS row_id, r.label AS row_label,
+             a.vec_id = r.vec_id AND a.label = r.label AND a.v = r.v AS own,
+             CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM a, r),
+p AS (SELECT anchor_id, label, row_id AS positive_id, score AS positive_score,
+             row_number() OVER (PARTITION BY anchor_id, label ORDER BY score DESC, row_id) AS place
+      FROM s WHERE row_label = label AND NOT own QUALIFY place <= 5),
+g AS (SELECT p.anchor_id, positive_id, positive_score, row_id AS negative_id, score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.label, place ORDER BY score DESC, row_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label = p.label AND s.row_label <> p.label
+        AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 3
+"""
+
+
+@_query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=shifted)
