@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kudoscope.llm import (
     byte_pairs,
+    collocations,
     decontaminate,
     hard_negatives,
     main_text,
@@ -277,3 +278,33 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("bigint")
     shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=shifted)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT d, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p
+      FROM (SELECT d, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS ps FROM d)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM
+        (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, k, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS h, array_to_string(ws[cut + 1:k], ' ') AS t
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, (2000000 * a::HUGEINT) // (x.f::HUGEINT + y.f::HUGEINT) AS score
+      FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = h JOIN f y ON y.lang = cuts.lang AND y.phrase = t
+      QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, cut) = 1),
+sub AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS cover FROM
+         (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+o AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+      FROM s LEFT JOIN sub ON sub.lang = s.lang AND sub.phrase = s.phrase WHERE cover IS NULL OR 100 * cover::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@_query("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
