@@ -13,6 +13,7 @@ from kudoscope.llm import (
     collocations,
     decontaminate,
     hard_negatives,
+    language,
     main_text,
     near_duplicates,
     personal_data,
@@ -308,3 +309,8 @@ FROM o JOIN n USING (lang) WHERE rank <= 2000
 @_query("op11_collocations", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_language")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_table(table(spark, sf_dir, "documents"))
