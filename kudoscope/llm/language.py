@@ -4,9 +4,9 @@ A word (letters and their marks, lower case) gives its letter n-grams of one to
 four, with its borders, and itself; each is hashed to a row of an embedding table.
 The mean of the rows of all subwords of a text goes through one linear layer and a
 softmax.  Both are trained by stochastic gradient descent in numpy on the driver,
-on a bounded sample of labelled rows: ``sample_docs`` in all, the same number of
-each language, drawn by a hash of the whole row, of which ``window`` words in a row
-and ``short`` words are used.  One part in five of the sample is held back: on it a
+in ``steps`` mini-batches of a bounded sample of labelled rows: ``sample_docs`` in
+all, the same number of each language, drawn by a hash of id and text, of which
+``window`` words in a row and ``short`` words are used.  One part in five of the sample is held back: on it a
 temperature is fitted and the least confidence at which ``precision`` of the
 accepted texts are right.  Predictions below it are marked as not accepted.
 
@@ -107,7 +107,7 @@ def means(texts: list[list[str]], table: np.ndarray) -> np.ndarray:
     return out / np.maximum(number, 1)[:, None]
 
 
-def _trained(texts: list[list[str]], labels: np.ndarray, langs: list[str], epochs: int, rate: float, seed: int) -> Model:
+def _trained(texts: list[list[str]], labels: np.ndarray, langs: list[str], steps: int, rate: float, seed: int) -> Model:
     """Stochastic gradient descent over mini-batches, the rate falling to zero."""
     rng = np.random.default_rng(seed)
     model = Model(
@@ -118,10 +118,9 @@ def _trained(texts: list[list[str]], labels: np.ndarray, langs: list[str], epoch
         found, counts = np.unique(subwords(t)[0], return_counts=True)
         features.append((found, counts / counts.sum()))
     size, done = 16, 0
-    steps = epochs * -(-len(texts) // size)
-    for _ in range(epochs):
+    while done < steps:
         order = rng.permutation(len(texts))
-        for lo in range(0, len(order), size):
+        for lo in range(0, len(order), size)[: steps - done]:
             at = order[lo : lo + size]
             lr = rate * (1 - done / steps)
             done += 1
@@ -174,7 +173,7 @@ def fit(
     sample_docs: int = 3000,
     window: int = 200,
     short: int = 12,
-    epochs: int = 3,
+    steps: int = 1200,
     rate: float = 4.0,
     precision: float = 0.99,
     seed: int = 7,
@@ -214,7 +213,7 @@ def fit(
             held.append(r["draw"] // 16 % 5 == 0)
     labels, held = np.array(labels), np.array(held)
     pick = lambda mask: ([texts[i] for i in np.flatnonzero(mask)], labels[mask])
-    model = _trained(*pick(~held if (~held).any() else held), langs, epochs, rate, seed)
+    model = _trained(*pick(~held if (~held).any() else held), langs, steps, rate, seed)
     _calibrate(model, *pick(held), precision)
     return model
 
