@@ -42,8 +42,8 @@ from kudoscope.llm.common import forget, written
 
 SHARDS = 8
 LONGEST = 4  # words of a phrase
-BLOCK_WORDS = 2_000_000
-SLICE = 4 << 20  # bytes of text split at a time
+BLOCK_WORDS = 500_000
+SLICE = 1 << 20  # bytes of text split at a time
 RANGE_BYTES = 1 << 20  # bytes of text for each hash range
 BITS = 27  # log2 of the bitmap's size
 HASH = 48  # bits of a phrase hash
@@ -195,11 +195,15 @@ def _marked(ranges: int, support: int, bits: int):
     return of
 
 
+def _is_marked(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8)) & np.uint8(128) != 0
+
+
 def _exact_counts(shared, bits: int, most: int):
     shift = np.uint64(HASH - bits)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
+        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
         for block in blocks(batches, most):
             names = np.array(list(block.numbers), dtype=object)
             words = _word_hashes(block)
@@ -209,7 +213,7 @@ def _exact_counts(shared, bits: int, most: int):
                 pairs = None
                 out = []
                 for k, at, h in _phrase_hashes(lang, seq, words):
-                    at = at[marked[h >> shift]]
+                    at = at[_is_marked(bitmap, h >> shift)]
                     if not len(at):
                         continue
                     if k > 2 and pairs is None:
