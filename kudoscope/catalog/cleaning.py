@@ -20,14 +20,14 @@ RAW_REVIEWS = """raw AS (
          CASE WHEN lang = 'en' THEN 'x' WHEN lang = 'de' THEN '3.7' WHEN lang = 'fr' THEN NULL
               ELSE CAST(n_chars AS VARCHAR) END AS useful,
          o_orderstatus AS funny, '-1' AS cool
-  FROM orders JOIN documents ON doc_id = o_orderkey)"""
+  FROM orders LEFT JOIN documents ON doc_id = o_orderkey)"""
 
 
 def raw_reviews(spark, sf):
     o = table(spark, sf, "orders")
     d = documents(spark, sf)
     status, price = F.col("o_orderstatus"), F.col("o_totalprice")
-    return o.join(d, o.o_orderkey == d.doc_id).select(
+    return o.join(d, o.o_orderkey == d.doc_id, "left").select(
         F.when((status != "P") | (price < 400000), F.col("o_orderkey").cast("string")).alias("review_id"),
         F.col("o_custkey").cast("string").alias("user_id"),
         F.col("o_orderpriority").alias("business_id"),

@@ -45,12 +45,65 @@ def lexicon_sums(spark, sf):
     return tidy(sentiment.lexicon_sums(docs, "doc_id", "text", learned_lexicon(spark, sf)), 4)
 
 
-@query("I2_lexicon_rule_scores")
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def rule_score_ctes(lexicon: str, negations=sentiment.NEGATIONS, intensifiers=sentiment.INTENSIFIERS, dampeners=sentiment.DAMPENERS) -> str:
+    """``scores``: the published rules in SQL, the three words before a word by ``lag``."""
+    edge = r"[^\p{L}\p{N}\p{M}_]+"
+
+    def step(d: int, damping: float) -> str:
+        push = f"CASE WHEN r{d} = 'i' THEN {sentiment.BOOST * damping!r} WHEN r{d} IN ('d', 'nd') THEN {-sentiment.BOOST * damping!r} ELSE 0 END"
+        return (f"step{d} AS (SELECT *, (v{d - 1} + CASE WHEN v{d - 1} < 0 THEN -({push}) ELSE {push} END) "
+                f"* CASE WHEN r{d} IN ('n', 'nd') THEN {sentiment.NEGATION} ELSE 1 END AS v{d} FROM step{d - 1})")
+
+    steps = ",\n".join(step(d, x) for d, x in enumerate(sentiment.DISTANCE_DAMPING, 1))
+    return rf"""parts AS (SELECT doc_id, t, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM
+  (SELECT doc_id, coalesce(text, '') AS t, regexp_split_to_array(coalesce(text, ''), '[\s\x0b\x1c-\x1f]+') AS ws FROM documents)),
+bare AS (SELECT doc_id, i, regexp_replace(replace(replace(w, '''', ''), '’', ''), '^{edge}|{edge}$', '', 'g') AS w FROM parts),
+word AS (SELECT doc_id, lower(w) AS token, length(w) > 1 AND regexp_matches(w, '\p{{Lu}}') AND NOT regexp_matches(w, '\p{{Ll}}') AS caps,
+  row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM bare WHERE w <> ''),
+role AS (SELECT *, CASE WHEN token IN (SELECT token FROM {lexicon}) THEN ''
+  WHEN token IN ({_listed(negations)}) THEN CASE WHEN token IN ({_listed(dampeners)}) THEN 'nd' ELSE 'n' END
+  WHEN token IN ({_listed(dampeners)}) THEN 'd' WHEN token IN ({_listed(intensifiers)}) THEN 'i' ELSE '' END AS r FROM word),
+near AS (SELECT doc_id, token, caps, place, lag(r, 1) OVER o AS r1, lag(r, 2) OVER o AS r2, lag(r, 3) OVER o AS r3,
+  bool_or(caps) OVER (PARTITION BY doc_id) AND bool_or(NOT caps) OVER (PARTITION BY doc_id) AS mixed,
+  min(CASE WHEN token = 'but' THEN place END) OVER (PARTITION BY doc_id) AS but FROM role WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+step0 AS (SELECT near.*, CAST(valence AS DOUBLE) + CASE WHEN caps AND mixed THEN CASE WHEN valence > 0 THEN {sentiment.CAPS_BOOST} ELSE -{sentiment.CAPS_BOOST} END ELSE 0 END AS v0
+  FROM near LEFT JOIN {lexicon} USING (token)),
+{steps},
+sided AS (SELECT doc_id, coalesce(v3 * CASE WHEN place < but THEN {sentiment.BEFORE_BUT} WHEN place > but THEN {sentiment.AFTER_BUT} ELSE 1 END, 0) AS v FROM step3),
+sums AS (SELECT doc_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS p, sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS n,
+  count(*) FILTER (v = 0) AS neu FROM sided GROUP BY doc_id),
+marks AS (SELECT doc_id, least(length(t) - length(replace(t, '!', '')), {sentiment.EXCLAIM_MAX}) * {sentiment.EXCLAIM_WEIGHT}
+  + CASE WHEN q > {sentiment.QUESTION_MAX} THEN {sentiment.QUESTION_CAP} WHEN q > 1 THEN q * {sentiment.QUESTION_WEIGHT} ELSE 0 END AS stress
+  FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) - length(replace(coalesce(text, ''), '?', '')) AS q FROM documents)),
+total AS (SELECT doc_id, s + sign(s) * stress AS s, p + CASE WHEN p > n THEN stress ELSE 0 END AS p, n + CASE WHEN n > p THEN stress ELSE 0 END AS n, neu
+  FROM marks LEFT JOIN sums USING (doc_id)),
+scores AS (SELECT doc_id, coalesce(round(n / nullif(p + n + neu, 0), 3), 0) + 0.0 AS sentiment_neg, coalesce(round(neu / nullif(p + n + neu, 0), 3), 0) + 0.0 AS sentiment_neu,
+  coalesce(round(p / nullif(p + n + neu, 0), 3), 0) + 0.0 AS sentiment_pos, coalesce(round(s / sqrt(s * s + {sentiment.ALPHA}), 4), 0) + 0.0 AS sentiment_compound FROM total)"""
+
+
+@query("I2_lexicon_rule_scores", f"WITH {LEXICON_SQL},\n{rule_score_ctes('lexicon')}\nSELECT * FROM scores")
 def lexicon_scores(spark, sf):
     docs = documents(spark, sf)
     return tidy(sentiment.score_sentiment(docs, "doc_id", "text", "lexicon", lexicon=learned_lexicon(spark, sf)))
 
 
+# Modifiers that the texts do use, beside a lexicon of longer words.
+OWN_MODIFIERS = {"negations": ("of", "der", "un"), "intensifiers": ("the", "la", "und", "que"), "dampeners": ("and", "de", "of", "tion")}
+
+
+@query("I2_rule_scores_own_modifiers", f"""WITH {LEXICON_SQL},
+longer AS (SELECT * FROM lexicon WHERE length(token) > 3),
+{rule_score_ctes('longer', **OWN_MODIFIERS)}
+SELECT * FROM scores""")
+def own_modifier_scores(spark, sf):
+    docs, lexicon = documents(spark, sf), learned_lexicon(spark, sf).where(F.length("token") > 3)
+    return tidy(sentiment.score_sentiment(docs, "doc_id", "text", "lexicon", lexicon=lexicon, **OWN_MODIFIERS))
+
+
 @query("I3_sentiment_labels", f"""WITH {LEXICON_SQL},
 hit AS (SELECT doc_id, sum(valence) AS v FROM
   (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) AS token FROM documents) JOIN lexicon USING (token) GROUP BY doc_id)
@@ -90,6 +143,15 @@ def model_scores(spark, sf):
         docs, "doc_id", "text", "model", load=load_length_model, labels=["POSITIVE", "NEGATIVE"]))
 
 
+@query("I5_lexicon_branch_joined", f"""WITH {LEXICON_SQL},
+{rule_score_ctes('lexicon')}
+SELECT d.doc_id, d.source, sentiment_neg, sentiment_neu, sentiment_pos, sentiment_compound FROM documents d JOIN scores USING (doc_id)""")
+def lexicon_branch(spark, sf):
+    """The default branch of the dispatch, joined to its texts."""
+    docs = documents(spark, sf).select("doc_id", "source", "text")
+    return tidy(sentiment.with_sentiment(docs, "doc_id", "text", lexicon=learned_lexicon(spark, sf)).drop("text"))
+
+
 # ---- feature tables ----------------------------------------------------------------
 
 
@@ -130,6 +192,30 @@ def features(spark, sf):
         "user_review_count", "user_fans", "user_average_stars"))
 
 
+FLAG_NAMES_SQL = """flag AS (SELECT category, 'cat_' || slug || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS name FROM
+  (SELECT category, slug, row_number() OVER (PARTITION BY slug ORDER BY n DESC, category) AS k FROM
+    (SELECT category, n, regexp_replace(regexp_replace(lower(category), '[^a-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM
+      (SELECT category, count(*) AS n FROM entry GROUP BY category ORDER BY count(*) DESC, category LIMIT 15))))"""
+
+
+@query("I6_sentiment_and_category_flags", sql(
+    "SELECT DISTINCT CAST(review_id AS BIGINT) AS review_id, name AS feature, 1.0::DOUBLE AS value FROM entry JOIN flag USING (category)\n"
+    + "\n".join(
+        f"UNION ALL SELECT CAST(review_id AS BIGINT), '{c}', CAST(coalesce({c}, 0) AS DOUBLE) FROM review LEFT JOIN scores ON doc_id = review_id"
+        for c in sentiment.SCORES),
+    LEXICON_SQL, rule_score_ctes("lexicon"),
+    f"entry AS (SELECT review_id, unnest(list_filter({CATS}, lambda x: x <> '')) AS category FROM review WHERE categories IS NOT NULL)",
+    FLAG_NAMES_SQL))
+def sentiment_and_flags(spark, sf):
+    """The sentiment columns and the 15 named category flags of the feature table, in long form."""
+    r, b, u = clean_tables(spark, sf)
+    df = review_features.review_features(r, b, u, lexicon=learned_lexicon(spark, sf))
+    flags = [c for c in df.columns if c.startswith("cat_")]
+    long = ranks.long_form(df, [*flags, *sentiment.SCORES], ["review_id"])
+    is_flag = F.col("column").startswith("cat_")
+    return tidy(long.where(~is_flag | (F.col("value") == 1)).select("review_id", F.col("column").alias("feature"), "value"))
+
+
 @query("I7_master_table", sql(f"""SELECT {big('review_id')} AS review_id, city, state, {big('is_open')} AS is_open, {big('business_stars')} AS business_stars,
   {big('business_review_count')} AS business_review_count, {big('user_review_count')} AS user_review_count, {r6('user_average_stars')} AS user_average_stars,
   {big('user_fans')} AS user_fans, {big("length(coalesce(text, ''))")} AS review_char_len,
@@ -239,6 +325,32 @@ def impute_and_scale(spark, sf):
     return tidy(scaled.select("review_id", *[parts[i].alias(c) for i, c in enumerate(names)]))
 
 
+RECIPE_SQL = TFIDF_SQL + """, text_part AS (SELECT doc_id, count(r.term) AS n, coalesce(sum(x / z), 0) AS s
+  FROM documents LEFT JOIN raw r USING (doc_id) LEFT JOIN norm USING (doc_id) GROUP BY doc_id),
+number AS (SELECT doc_id, coalesce(n_chars, (SELECT median(n_chars) FROM documents)) / (SELECT max(n_chars) FROM documents)::DOUBLE AS v FROM documents)
+"""
+
+
+@query("I13_three_recipes", RECIPE_SQL + " UNION ALL ".join(
+    f"SELECT doc_id, '{recipe}' AS recipe, {big(n)} AS entries, (round(CAST({s} AS DOUBLE), 5) + 0.0) AS total FROM text_part JOIN number USING (doc_id)"
+    for recipe, n, s in (("text_tfidf", "n", "s"), ("text_tfidf_dense", "n", "s"), ("text_tfidf_plus_numeric", "n + CAST(v <> 0 AS INT)", "s + v"))))
+def three_recipes(spark, sf):
+    """Entries and sums of the vectors that each feature recipe makes."""
+    from pyspark.ml.functions import vector_to_array
+
+    from kudoscope.models import text_models
+
+    docs = documents(spark, sf).select("doc_id", "text", "n_chars").withColumn("text", F.coalesce("text", F.lit("")))
+    parts = []
+    for recipe in text_models.RECIPES:
+        rows = text_models.feature_model(docs, recipe, term_settings(), ["n_chars"]).transform(docs)
+        values = vector_to_array("features")
+        parts.append(rows.select(
+            "doc_id", F.lit(recipe).alias("recipe"), F.size(F.filter(values, lambda v: v != 0)).alias("entries"),
+            F.aggregate(values, F.lit(0.0), lambda a, v: a + v).alias("total")))
+    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]), 5)
+
+
 def master_split(spark, sf):
     """Both sides of the split, cut from one kept master table."""
     r, b, u = clean_tables(spark, sf)

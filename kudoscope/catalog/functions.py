@@ -55,7 +55,7 @@ def primary_means(spark, sf):
     from kudoscope.operators.aggregates import group_summary
 
     df = review_base(spark, sf, ["city"]).select("useful", categories.primary(F.col("categories")).alias("primary_category"))
-    return tidy(group_summary(df, "primary_category", "useful", 10))
+    return tidy(group_summary(df, "primary_category", "useful", 10, discrete=True))
 
 
 @query("H8_lexical_features", f"""SELECT doc_id, {r6('CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END')} AS lexical_richness,

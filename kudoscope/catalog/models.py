@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kudoscope.catalog.base import documents, reviews, sql, table
-from kudoscope.catalog.features import clean_tables, learned_lexicon, master_split, term_settings
+from kudoscope.catalog.features import SPLIT_CTES, clean_tables, learned_lexicon, master_split, term_settings
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.models import regression, text_models, weights
 from kudoscope.operators import metrics, sentiment
@@ -105,6 +105,30 @@ def curve_points(spark, sf):
     return tidy(metrics.curve_points(predictions(spark, sf), "label", "prob"))
 
 
+# Continuous scores: every order has one of its own.
+DENSE_SQL = """dense AS (SELECT o_totalprice AS s, CAST(o_orderstatus = 'F' AS INT) AS y FROM orders),
+cells AS (SELECT s, sum(y) AS pos, count(*) - sum(y) AS neg FROM dense GROUP BY s),
+curve AS (SELECT s, pos, neg, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, lead(pos) OVER (ORDER BY s DESC) AS pos2, lead(neg) OVER (ORDER BY s DESC) AS neg2,
+  lag(pos) OVER (ORDER BY s DESC) AS pos0, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM cells WINDOW d AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+def dense_scores(spark, sf):
+    return table(spark, sf, "orders").select(
+        F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+
+
+@query("J15_roc_curve_thinned", f"""WITH {DENSE_SQL} SELECT {r6('s')} AS threshold, {r6('fp / n')} AS fpr, {r6('tp / p')} AS tpr FROM curve WHERE pos0 IS NULL OR pos2 IS NULL OR pos <> pos2 OR neg <> neg2
+UNION ALL SELECT CAST('Infinity' AS DOUBLE), 0.0, 0.0""")
+def roc_curve(spark, sf):
+    return tidy(metrics.roc_points(dense_scores(spark, sf), "label", "score"))
+
+
+@query("J15_precision_recall_thinned", f"""WITH {DENSE_SQL} SELECT {r6('s')} AS threshold, {r6('tp / (tp + fp)')} AS precision, {r6('tp / p')} AS recall FROM curve
+WHERE pos0 IS NULL OR pos2 IS NULL OR pos > 0 OR pos2 > 0""")
+def precision_recall_curve(spark, sf):
+    return tidy(metrics.precision_recall_points(dense_scores(spark, sf), "label", "score"))
+
+
 def _calibration_sql(truth: str, score: str) -> str:
     cuts = ", ".join(f"{i / 10}" for i in range(11))
     return f"""SELECT {big('bin')} AS bin, {r6('avg(s)')} AS mean_pred, {r6('avg(t)')} AS mean_true, {big('count(*)')} AS n FROM (
@@ -157,6 +181,85 @@ def predictions_table(spark, sf):
     return tidy(run.predictions)
 
 
+@query("J3_poisson_group_means", sql("SELECT (round(m, 4) + 0.0) AS pred_poisson, CAST(sum(n) AS BIGINT) AS n FROM (SELECT avg(useful) AS m, count(*) AS n FROM review GROUP BY stars <= 2) GROUP BY 1"))
+def poisson_means(spark, sf):
+    """On one 0/1 feature the Poisson fit predicts the mean of each group."""
+    df = reviews(spark, sf).withColumn("few_stars", (F.col("stars") <= 2).cast("double"))
+    rows = feature_matrix.assemble(df, ["few_stars"])
+    fitted = regression.fit(rows, "useful", ["few_stars"], regression.ModelSettings(("poisson",), ("few_stars",)))
+    preds = tidy(fitted.predict(rows, "useful", "review_id").select("pred_poisson"), 4)
+    return preds.groupBy("pred_poisson").agg(F.count("*").alias("n"))
+
+
+@query("J3_wide_poisson_group_means", sql("SELECT (round(m, 4) + 0.0) AS pred_poisson, CAST(sum(n) AS BIGINT) AS n FROM (SELECT avg(useful) AS m, count(*) AS n FROM review GROUP BY stars) GROUP BY 1"))
+def wide_poisson_means(spark, sf):
+    """The sparse fit on vectors wider than the least-squares solver takes: one entry
+    for each number of stars among 5,000."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    df = reviews(spark, sf).withColumn("at", F.col("stars") * 900)
+    encoder = OneHotEncoder(inputCol="at", outputCol="features", dropLast=False)
+    # a last category far off sets the width
+    fitted_on = df.select("at").union(spark.range(1).select(F.lit(4999).alias("at")))
+    rows = encoder.fit(fitted_on).transform(df)
+    fitted = regression.fit(rows, "useful", ["stars"], regression.ModelSettings(("poisson",), ("stars",)))
+    preds = tidy(fitted.predict(rows, "useful", "review_id").select("pred_poisson"), 4)
+    return preds.groupBy("pred_poisson").agg(F.count("*").alias("n"))
+
+
+@query("J4_boosted_beats_the_mean", sql(f"SELECT {big('count(*)')} AS rows, {big('count(*)')} AS finite, {big('1')} AS beats_mean FROM held", *SPLIT_CTES))
+def boosted(spark, sf):
+    """Boosted trees at their defaults: every evaluation row has a finite score and the
+    error on the log scale is below that of the mean."""
+    run = training.compare_models(_numeric_tables(spark, sf), regression.ModelSettings(("baseline_mean", "boosted")))
+    error = run.metrics.groupBy().pivot("model", ["boosted", "baseline_mean"]).agg(F.first("rmse_log1p"))
+    beats = error.select(F.col("boosted") < F.col("baseline_mean")).scalar()
+    return tidy(run.predictions.agg(
+        F.count("*").alias("rows"), F.count_if(metrics.finite(F.col("pred_boosted"))).alias("finite")
+    ).withColumn("beats_mean", beats))
+
+
+@query("J5_hurdle_size", sql("""SELECT CAST(review_id AS BIGINT) AS review_id, (round(CAST(greatest(exp(a + b * cool) - 1, 0) AS DOUBLE), 4) + 0.0) AS size
+FROM review CROSS JOIN (SELECT regr_slope(ln(1 + useful), cool) AS b, regr_intercept(ln(1 + useful), cool) AS a FROM review WHERE useful > 0)"""))
+def hurdle_size(spark, sf):
+    """The size part of the hurdle is a line through the reviews with votes."""
+    df = reviews(spark, sf).withColumn("cool", F.col("cool").cast("double"))
+    rows = feature_matrix.assemble(df, ["cool"])
+    fitted = regression.fit(rows, "useful", ["cool"], regression.ModelSettings(("hurdle",), ("cool",)))
+    preds = fitted.predict(rows, "useful", "review_id")
+    return tidy(preds.select("review_id", (F.col("pred_hurdle") / F.col("pred_hurdle_prob")).alias("size")), 4)
+
+
+@query("J8_scores_of_margins", sql(f"""SELECT {big('review_id')} AS review_id, {r6('1 / (1 + exp(CAST(cool - funny AS DOUBLE)))')} AS y_proba, {big('funny >= cool')} AS y_pred FROM review"""))
+def margin_scores(spark, sf):
+    """Scores of a classifier that only gives margins: their sigmoid, cut at one half."""
+    from pyspark.ml.functions import array_to_vector
+
+    margin = (F.col("funny") - F.col("cool")).cast("double")
+    df = reviews(spark, sf).select("review_id", array_to_vector(F.array(-margin, margin)).alias("rawPrediction"))
+    return tidy(text_models.with_labels(df).select("review_id", "y_proba", "y_pred"))
+
+
+@query("J8_scores_of_probabilities", sql(f"""SELECT {big('review_id')} AS review_id, {r6('(funny + 1.0) / (funny + cool + 2.0)')} AS y_proba, {big('funny >= cool')} AS y_pred FROM review"""))
+def probability_scores(spark, sf):
+    """Scores of a classifier with probabilities: that of the positive class."""
+    from pyspark.ml.functions import array_to_vector
+
+    p = (F.col("funny") + 1.0) / (F.col("funny") + F.col("cool") + 2.0)
+    df = reviews(spark, sf).select("review_id", array_to_vector(F.array(1 - p, p)).alias("probability"))
+    return tidy(text_models.with_labels(df).select("review_id", "y_proba", "y_pred"))
+
+
+@query("J19_mean_and_linear_predictions", sql("""SELECT CAST(review_id AS BIGINT) AS review_id, (round(CAST(useful AS DOUBLE), 4) + 0.0) AS y_true, (round(m, 4) + 0.0) AS pred_baseline_mean,
+  (round(CAST(greatest(exp(a + b * cool) - 1, 0) AS DOUBLE), 4) + 0.0) AS pred_linear_log
+FROM held CROSS JOIN (SELECT avg(useful) AS m, regr_slope(ln(1 + useful), cool) AS b, regr_intercept(ln(1 + useful), cool) AS a FROM train)""", *SPLIT_CTES))
+def mean_and_linear(spark, sf):
+    """Predictions table of the evaluation side, fitted on the training side."""
+    run = training.compare_models(
+        _numeric_tables(spark, sf), regression.ModelSettings(("baseline_mean", "linear_log"), small_features=("cool",)))
+    return tidy(run.predictions, 4)
+
+
 def _text_rows(spark, sf):
     docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     return docs.select("doc_id", "text", F.col("n_chars").alias("review_char_len"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from kudoscope.catalog.base import business, documents, review_base, reviews, sql, table, users, with_text
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.functions import categories, dates, text, votes
-from kudoscope.operators import aggregates, correlation, joins, ranks, reshape, sampling
+from kudoscope.operators import aggregates, correlation, joins, ranks, reshape, sampling, sketches
+from kudoscope.session import work_folder
 from kudoscope.sources import readers
 
 # ---- joins ----------------------------------------------------------------
@@ -104,7 +105,7 @@ def by_weekday(spark, sf):
 FROM review WHERE city IN (SELECT city FROM review WHERE city IS NOT NULL GROUP BY city ORDER BY count(*) DESC, city LIMIT 15)
 GROUP BY city"""))
 def city_summary(spark, sf):
-    return tidy(aggregates.group_summary(review_base(spark, sf, ["city"]), "city", "useful", 15))
+    return tidy(aggregates.group_summary(review_base(spark, sf, ["city"]), "city", "useful", 15, discrete=True))
 
 
 @query("D2_price_by_brand", f"""SELECT p_brand, {r6('avg(l_extendedprice)')} AS mean, {r6('median(l_extendedprice)')} AS median, {big('count(*)')} AS n
@@ -113,7 +114,7 @@ def price_summary(spark, sf):
     """Median of a column with very many distinct values (bucketed running total)."""
     line = table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice")
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return tidy(aggregates.group_summary(line.join(part, "l_partkey"), "p_brand", "l_extendedprice", None, discrete=False))
+    return tidy(aggregates.group_summary(line.join(part, "l_partkey"), "p_brand", "l_extendedprice"))
 
 
 @query("D3_top_states", sql(f"SELECT state, {big('count(*)')} AS n FROM review WHERE state IS NOT NULL GROUP BY state ORDER BY count(*) DESC, state LIMIT 4"))
@@ -141,7 +142,7 @@ FROM entry WHERE category IN (SELECT category FROM entry GROUP BY category ORDER
 GROUP BY category""", ENTRY))
 def category_summary(spark, sf):
     df = review_base(spark, sf, ["city"]).withColumn("categories", categories.split_list(F.col("categories")))
-    return tidy(aggregates.list_summary(df, "categories", "useful", 20))
+    return tidy(aggregates.list_summary(df, "categories", "useful", 20, discrete=True))
 
 
 def _describe_sql(source: str, columns: list[str], percentiles: dict[str, float]) -> str:
@@ -170,6 +171,59 @@ def distinct_counts(spark, sf):
     return tidy(aggregates.distinct_counts(review_base(spark, sf, ["city"]), ["business_id", "user_id", "city"]))
 
 
+@query("D6_D7_monthly_sketches", f"""SELECT year, {big('count(*)')} AS rows, {big('count(*)')} AS count, {r6('min(o_totalprice)')} AS min, {r6('max(o_totalprice)')} AS max,
+  1 AS quantiles_near, 1 AS distinct_near, 1 AS whole_near FROM (SELECT *, year(o_orderdate) AS year FROM orders) GROUP BY year""".replace("1 AS", "CAST(1 AS BIGINT) AS").replace("SELECT year,", "SELECT CAST(year AS BIGINT) AS year,"))
+def monthly_sketches(spark, sf):
+    """States of every month, stored, merged to years and once more to one row; the
+    estimates against exact ranks (within 2 %) and exact distinct counts (within 5 %)."""
+    o = table(spark, sf, "orders").select(
+        F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice", "o_custkey")
+    path = f"{work_folder(spark)}/states"
+    sketches.states(o, ["o_totalprice"], ["o_custkey"], ["year", "month"]).write.parquet(path)
+    years = sketches.merged(spark.read.parquet(path), ["year"])
+    probabilities = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+    def near(estimated, by, rows):
+        """Do the shares of rows below the estimates miss the probabilities by 2 %?"""
+        shares = [F.avg((F.col("o_totalprice") <= F.col(f"p{p * 100:g}")).cast("double")).alias(f"s{i}") for i, p in enumerate(probabilities)]
+        hits = rows.join(F.broadcast(estimated), by).groupBy(*by).agg(
+            *shares, F.count_distinct("o_custkey").alias("exact"), F.max("distinct").alias("distinct"))
+        good = [F.abs(F.col(f"s{i}") - p) <= 0.02 for i, p in enumerate(probabilities)]
+        all_good = good[0]
+        for g in good[1:]:
+            all_good = all_good & g
+        return hits.select(*by, all_good.alias("quantiles_near"),
+                           (F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_near"))
+
+    def figures(states, by):
+        long = sketches.estimates(states, probabilities, by)
+        prices = long.where("column = 'o_totalprice'").drop("column", "distinct")
+        return prices.join(long.where("column = 'o_custkey'").select(*by, "distinct"), by) if by else prices
+
+    per_year = figures(years, ["year"])
+    whole = sketches.estimates(sketches.merged(years.withColumn("all", F.lit(1)), ["all"]), probabilities, ["all"])
+    whole = whole.where("column = 'o_totalprice'").drop("column", "distinct").join(
+        whole.where("column = 'o_custkey'").select("all", "distinct"), "all")
+    all_near = near(whole, ["all"], o.withColumn("all", F.lit(1))).select(F.col("quantiles_near") & F.col("distinct_near"))
+    out = per_year.join(near(per_year, ["year"], o), "year").withColumn("whole_near", all_near.scalar())
+    return tidy(out.select("year", F.col("count").alias("rows"), "count", "min", "max", "quantiles_near", "distinct_near", "whole_near"))
+
+
+@query("D6_describe_approximate", "SELECT t.\"column\", t.count, t.mean, t.std, t.min, t.max, CAST(1 AS BIGINT) AS near FROM (" + _describe_sql("lineitem", ["l_extendedprice", "l_quantity"], {"p50": 0.5}) + ") t")
+def describe_approximate(spark, sf):
+    """Sketched percentiles, compared with the shares of rows around them."""
+    lines = table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity")
+    found = aggregates.describe(lines, ["l_extendedprice", "l_quantity"], (0.01, 0.5, 0.99), approx=True)
+    long = ranks.long_form(lines, ["l_extendedprice", "l_quantity"])
+    shares = long.join(F.broadcast(found.select("column", "p1", "p50", "p99")), "column").groupBy("column").agg(*[
+        F.avg((F.col("value") < F.col(f"p{p}")).cast("double")).alias(f"b{p}") for p in (1, 50, 99)
+    ], *[F.avg((F.col("value") <= F.col(f"p{p}")).cast("double")).alias(f"u{p}") for p in (1, 50, 99)])
+    near = F.lit(True)
+    for p in (1, 50, 99):
+        near = near & (F.col(f"b{p}") <= p / 100 + 0.02) & (F.col(f"u{p}") >= p / 100 - 0.02)
+    return tidy(found.join(shares.select("column", near.alias("near")), "column").drop("p1", "p50", "p99"))
+
+
 @query("D8_H13_age_from_newest", f"SELECT event_id, {big('floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 86400000000)')} AS age_days FROM events")
 def age_from_newest(spark, sf):
     e = table(spark, sf, "events")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from kudoscope.catalog.base import business, reviews, sql, table, users, with_text
 from kudoscope.catalog.cleaning import RAW_REVIEWS, raw_reviews
-from kudoscope.catalog.features import term_settings
+from kudoscope.catalog.features import SPLIT_CTES, term_settings
 from kudoscope.catalog.models import _text_rows
-from kudoscope.catalog.registry import big, query, tidy
+from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.models import regression, text_models
 from kudoscope.operators import clean, reshape
 from kudoscope.plans import end_to_end, feature_matrix, sweep, training
@@ -190,6 +190,32 @@ def raw_to_metrics(spark, sf):
     return tidy(done["metrics"])
 
 
+def _log_row(model: str) -> str:
+    """Log-scale metrics of a column of ``preds`` in SQL."""
+    return f"""SELECT '{model}' AS model, {r6(f'avg(abs(ln(1 + y_true) - ln(1 + {model})))')} AS mae_log1p,
+  {r6(f'sqrt(avg(power(ln(1 + y_true) - ln(1 + {model}), 2)))')} AS rmse_log1p, {r6("CASE WHEN stddev_pop(rp) > 0 THEN corr(rt, rp) END")} AS spearman,
+  CAST(NULL AS DOUBLE) AS roc_auc, CAST(NULL AS DOUBLE) AS pr_auc FROM (SELECT *,
+    rank() OVER (ORDER BY y_true) + (count(*) OVER (PARTITION BY y_true) - 1) / 2.0 AS rt,
+    rank() OVER (ORDER BY {model}) + (count(*) OVER (PARTITION BY {model}) - 1) / 2.0 AS rp FROM preds)"""
+
+
+@query("J22_raw_to_metrics_of_mean_and_line", sql(
+    " UNION ALL ".join(_log_row(m) for m in ("baseline_mean", "linear_log")),
+    "labelled AS (SELECT *, CAST(useful > 0 AS INT) AS y FROM review WHERE business_id IS NOT NULL AND length(coalesce(text, 'no text was given')) >= 10)",
+    SPLIT_CTES[1],
+    """preds AS (SELECT CAST(useful AS DOUBLE) AS y_true, m AS baseline_mean, greatest(exp(a + b * cool) - 1, 0) AS linear_log
+FROM held CROSS JOIN (SELECT avg(useful) AS m, regr_slope(ln(1 + useful), cool) AS b, regr_intercept(ln(1 + useful), cool) AS a FROM train))"""))
+def raw_to_compared_metrics(spark, sf):
+    """From raw files to the metrics of the two models that SQL can fit."""
+    root = work_folder(spark)
+    raw_users(spark, sf).write.json(f"{root}/raw/users")
+    raw_business(spark, sf).write.json(f"{root}/raw/business")
+    clean_raw_reviews(spark, sf).write.json(f"{root}/raw/reviews")
+    models = regression.ModelSettings(("baseline_mean", "linear_log"), small_features=("cool",))
+    done = end_to_end.run(spark, f"{root}/raw", f"{root}/work", settings=sweep.RunSettings(models=models))
+    return tidy(done["metrics"])
+
+
 @query("J22_clean_to_split", sql(f"SELECT {big('count(*)')} AS rows, {big('count(city)')} AS with_city, {big('sum(useful)')} AS useful FROM review WHERE business_id IS NOT NULL AND length(coalesce(text, 'no text was given')) >= 10"))
 def clean_to_split(spark, sf):
     """The stages before modelling, features and models skipped."""

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kudoscope.functions import categories, text
-from kudoscope.operators import ranks
+from kudoscope.operators import ranks, sketches
 
 DESCRIBE_QUANTILES = (0.25, 0.5, 0.75)  # fixed values
 
@@ -50,7 +50,7 @@ def group_summary(
     key: str,
     value: str,
     top: int | None = None,
-    discrete: bool = True,
+    discrete: bool = False,
 ) -> DataFrame:
     """Mean, median and size per group, by descending mean.
 
@@ -87,13 +87,13 @@ def explode_list(df: DataFrame, column: str, name: str, keep_empty: bool = False
     return df.withColumn(name, step(column))
 
 
-def list_summary(df: DataFrame, column: str, value: str, top: int) -> DataFrame:
+def list_summary(df: DataFrame, column: str, value: str, top: int, discrete: bool = False) -> DataFrame:
     """:func:`group_summary` over list entries.
 
     Only the list and the value are carried through the explode.
     """
     entries = df.select(F.explode(categories.non_empty(F.col(column))).alias("category"), value)
-    return group_summary(entries, "category", value, top)
+    return group_summary(entries, "category", value, top, discrete)
 
 
 def describe(
@@ -101,8 +101,21 @@ def describe(
     columns: Sequence[str],
     percentiles: Sequence[float] = DESCRIBE_QUANTILES,
     discrete: bool = False,
+    approx: bool = False,
 ) -> DataFrame:
-    """count, mean, std, min, exact percentiles and max; one row per column."""
+    """count, mean, std, min, exact percentiles and max; one row per column.
+
+    ``approx`` takes the percentiles from one KLL sketch per column: a single
+    scan without a shuffle of values (see ``sketches`` for states to store)."""
+    if approx:
+        x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+        deviations = df.agg(*[F.stddev_samp(v).alias(c) for c, v in x.items()]).select(F.struct(*columns)).scalar()
+        spread = F.create_map(*[e for c in columns for e in (F.lit(c), F.col("_std")[c])])
+        found = sketches.estimates(sketches.states(df, columns), percentiles).where("count > 0")
+        names = [f"p{p * 100:g}".replace(".", "_") for p in percentiles]
+        return found.withColumn("_std", deviations).select(
+            "column", "count", "mean", spread[F.col("column")].alias("std"), "min", *names, "max"
+        )
     long = ranks.long_form(df, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
     freq = long.groupBy("column", "value").agg(F.count("*").alias("n"))
     names = [f"p{p * 100:g}".replace(".", "_") for p in percentiles]

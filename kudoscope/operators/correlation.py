@@ -8,9 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kudoscope.operators.joins import SMALL_TABLE_ROWS, salted_lookup
-from kudoscope.operators.ranks import long_form, running_total
-from kudoscope.session import keep
+from kudoscope.operators.joins import salted_lookup
+from kudoscope.operators.ranks import running_total
 
 Pair = tuple[str, str]
 
@@ -93,44 +92,50 @@ def spearman(df: DataFrame, pairs: Sequence[Pair], discrete: bool = False) -> Da
 def spearman_matrix(df: DataFrame, columns: Sequence[str], row_key: str) -> DataFrame:
     """All pairs of many columns: ``left``, ``right``, ``rows``, ``correlation``.
 
-    :func:`spearman` folds the pairs of every two columns, which costs one
-    pass of rows per pair when values hardly repeat.  Here a column without
-    nulls is ranked once for all its pairs: a rank table of checked size is
-    broadcast, a larger one is joined with its hot values salted.  Columns
-    with nulls are ranked pair by pair, as each pair has rows of its own.
+    Every pair counts the rows where both are filled, so a value has a rank of its
+    own for each partner column.  Rows are folded to ``(column, value, mask of the
+    filled columns)``; from the masks come, for every value of a column, the rows
+    in which each partner is filled; one running total per column then gives all
+    its ranks at once.  No row is copied per pair: every row meets its ranks once per
+    column and is put together again by ``row_key``, which has to be unique.
     """
     columns = list(columns)
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    whole = [c for c in columns if nulls[c] == 0]
-    rest = [p for p in all_pairs(columns) if not set(p) <= set(whole)]
-    parts = []
-    if len(whole) > 1:
-        parts.append(_ranked_once(df, whole, row_key))
-    if rest:
-        parts.append(spearman(df, rest))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _ranked_once(df: DataFrame, columns: list[str], row_key: str) -> DataFrame:
-    counts = long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
-    cum = running_total(counts, "value", ["n"], ["column"])
-    average = F.col("n_upto") - (F.col("n") - 1) / F.lit(2.0)
-    table = keep(cum.select("column", "value", "n", average.alias("rank")))
-    sizes = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
-    ranked = df.select(row_key, *[F.col(c).cast("double").alias(c) for c in columns])
-    for c in columns:
-        one = table.where(F.col("column") == c).select(
-            F.col("value").alias(c), "n", F.col("rank").alias(f"_r_{c}")
-        )
-        if sizes[c] <= SMALL_TABLE_ROWS:
-            ranked = ranked.join(F.broadcast(one.drop("n")), c, "left")
-        else:
-            ranked = salted_lookup(ranked, one, [c], "n", F.col(row_key))
-    pairs = all_pairs(columns)
-    found = pearson(ranked, [(f"_r_{a}", f"_r_{b}") for a, b in pairs])
-    rows = df.agg(F.count("*")).scalar()
-    bare = {c: F.regexp_replace(c, "^_r_", "").alias(c) for c in ("left", "right")}
-    return found.select(bare["left"], bare["right"], rows.alias("rows"), "correlation")
+    size = len(columns)
+    filled = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
+    mask = sum((F.when(f, F.lit(1 << i)).otherwise(0) for i, f in enumerate(filled)), F.lit(0)).cast("bigint")
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)
+    ])
+    long = df.select(F.col(row_key).alias("_row"), mask.alias("_mask"), F.inline(cells)).where(
+        F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("column"))) != 0
+    )
+    folded = long.groupBy("column", "value", "_mask").agg(F.count("*").alias("n"))
+    partners = [f"_p{i}" for i in range(size)]
+    beside = folded.groupBy("column", "value").agg(
+        F.sum("n").alias("n"),
+        *[F.sum(F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col("n")).otherwise(0)).alias(p) for i, p in enumerate(partners)],
+    )
+    cum = running_total(beside, "value", partners, ["column"])
+    ranked = cum.select(
+        "column", "value", "n",
+        F.array(*[F.col(f"{p}_upto") - (F.col(p) - 1) / F.lit(2.0) for p in partners]).alias("_ranks"),
+    )
+    found = salted_lookup(long, ranked, ["column", "value"], "n", F.col("_row"), beside)
+    rows = found.groupBy("_row").agg(  # one entry per column
+        F.map_from_entries(F.collect_list(F.struct("column", "_ranks"))).alias("_r")
+    )
+    pairs = list(combinations(range(size), 2))
+
+    def rank(i: int, j: int) -> Column:
+        return F.when(F.col("_r")[i].isNotNull() & F.col("_r")[j].isNotNull(), F.element_at(F.col("_r")[i], j + 1))
+
+    wide = rows.agg(*[
+        F.struct(F.count(rank(i, j)).alias("rows"), pearson_value(rank(i, j), rank(j, i)).alias("correlation")).alias(f"c{k}")
+        for k, (i, j) in enumerate(pairs)
+    ])
+    listed = F.array(*[
+        F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.col(f"c{k}.rows").alias("rows"),
+                 F.col(f"c{k}.correlation").alias("correlation"))
+        for k, (i, j) in enumerate(pairs)
+    ])
+    return wide.select(F.inline(listed)).where("rows > 0")

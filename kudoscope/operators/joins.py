@@ -9,8 +9,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kudoscope.session import keep
+
 HOT_SHARE = 1 / 512  # a key is hot above this share; so at most 512 keys are
 SALTS = 64  # a hot key is spread over this many tasks
+MOST_HOT, TRACKED = 1024, 16384  # keys named, and keys counted, by a summary
 
 
 def rename_clashes(
@@ -21,23 +24,49 @@ def rename_clashes(
     return right.withColumnsRenamed({c: c + suffix for c in right.columns if c in taken})
 
 
+def hot_keys(df: DataFrame, key: str) -> Column:
+    """Keys that may hold more than ``HOT_SHARE`` of the rows, as one array.
+
+    They come from a frequent-items summary that every task keeps during the
+    scan (a fixed number of keys, merged like any partial aggregate): no count per
+    key is shuffled.  Counts are estimates, so half the share is asked for; at
+    most ``MOST_HOT`` keys are named."""
+    top = df.agg(
+        F.call_function("approx_top_k", F.col(key), F.lit(MOST_HOT), F.lit(TRACKED)).alias("_top"),
+        F.count(key).alias("_rows"),
+    )
+    hot = F.filter("_top", lambda e: e["item"].isNotNull() & (e["count"] * (2 / HOT_SHARE) > F.col("_rows")))
+    return top.select(F.transform(hot, lambda e: e["item"])).scalar()
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: Column, hot: Column) -> DataFrame:
+    """Left join on one key, the ``hot`` keys spread over ``SALTS`` tasks."""
+    is_hot = F.coalesce(F.array_contains(hot, F.col(key)), F.lit(False))
+    salt = F.when(is_hot, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = left.withColumn("_salt", salt)
+    return spread.join(right.withColumn("_salt", F.explode(copies)), [key, "_salt"], "left").drop("_salt")
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,
     key: str,
     suffix: str = "_right",
     salt_by: str | None = None,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left equi-join of a side table; clashing right names get ``suffix``.
 
-    With ``salt_by`` (the left row key) hot values of ``key`` are found by a
-    count and spread over several tasks; otherwise AQE splits them.
+    With ``salt_by`` (the left row key) the hot values of ``key`` are spread over
+    several tasks; otherwise AQE splits them.  ``hot_from`` is a table with the
+    same keys that is cheaper to read than ``left``.
     """
     right = rename_clashes(left, right, [key], suffix)
     if salt_by is None:
         return left.join(right, key, "left")
-    sizes = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
-    return salted_lookup(left, right.join(sizes, key, "left"), [key], "_rows", F.col(salt_by), sizes)
+    hot = hot_keys(left if hot_from is None else hot_from, key)
+    return salted_join(left, right, key, F.col(salt_by), hot)
 
 
 def salted_lookup(
@@ -85,11 +114,12 @@ def look_up(
 
     A table of checked size is broadcast, so the left rows stay in place.  A
     larger one is joined by shuffle with the hot keys of the left side salted.
+    The table is kept, as it is counted first.
     """
+    table = keep(table)
     if is_small(table, rows):
         return left.join(F.broadcast(table), key, "left")
-    sizes = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
-    return salted_lookup(left, table.join(sizes, key, "left"), [key], "_rows", salt_by, sizes)
+    return salted_join(left, table, key, salt_by, hot_keys(left, key))
 
 
 def repeated_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

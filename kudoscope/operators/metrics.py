@@ -154,6 +154,50 @@ def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
+def _thinned(c: DataFrame, drop: Column) -> DataFrame:
+    """Points of a curve from its counts per score, without those that ``drop``
+    names and that are no end; ``lower``/``higher`` are the counts beside them."""
+    near = ranks.with_neighbours(c, "score", ["pos", "neg"])
+    ends = F.col("lower").isNull() | F.col("higher").isNull()
+    return near.where(ends | ~drop)
+
+
+def roc_points(df: DataFrame, label: str, score: str, thin: bool = True) -> DataFrame:
+    """``threshold``, ``fpr``, ``tpr`` of the ROC curve.
+
+    ``thin`` leaves out points whose step equals the next one (the curve is
+    straight there, its area unchanged): a few rows in place of one per score.
+    The starting point (0, 0) is added with an infinite threshold; a rate without a
+    denominator is null."""
+    c = score_counts(df, label, score)
+    points = _thinned(c, (F.col("pos") == F.col("lower.pos")) & (F.col("neg") == F.col("lower.neg"))) if thin else c
+    p, n = F.nullif("pos_all", F.lit(0)), F.nullif("neg_all", F.lit(0))
+    curve = points.select(F.col("score").alias("threshold"), (F.col("fp") / n).alias("fpr"), (F.col("tp") / p).alias("tpr"))
+    sums = c.agg(F.max("pos_all").alias("p"), F.max("neg_all").alias("n"))
+    start = sums.where("p is not null").select(
+        F.lit(INF).alias("threshold"),
+        F.when(F.col("n") > 0, 0.0).alias("fpr"),
+        F.when(F.col("p") > 0, 0.0).alias("tpr"),
+    )
+    return curve.unionByName(start)
+
+
+def precision_recall_points(df: DataFrame, label: str, score: str, thin: bool = True) -> DataFrame:
+    """``threshold``, ``precision``, ``recall`` per score.
+
+    ``thin`` leaves out the inner points of every stretch without a further hit:
+    there recall stands still, so the step sum is unchanged."""
+    c = score_counts(df, label, score)
+    if thin:
+        c = _thinned(c, (F.col("pos") == 0) & (F.col("lower.pos") == 0))
+    p = F.nullif("pos_all", F.lit(0))
+    return c.select(
+        F.col("score").alias("threshold"),
+        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        (F.col("tp") / p).alias("recall"),
+    )
+
+
 def label_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """One row: accuracy, f1, precision, recall, balanced accuracy, rows.
 

@@ -2,9 +2,10 @@
 
 Rows are first folded to ``(group, value, count)`` by a partial aggregate, so a
 group that holds a third of all rows becomes as many rows as it has distinct
-values.  When a column may have very many distinct values the running total is
-cut into ordered buckets: one window inside each bucket and one over the bucket
-totals, whose number is bounded.  No task ever sees a whole table.
+values.  A running total is then cut into ranges of the value: splitters come
+from a mergeable quantile sketch of the folded rows, so every range holds about
+the same number of them however dense the column is; one window runs inside each
+range, one over the totals of the ranges, whose number is fixed.
 """
 
 from __future__ import annotations
@@ -17,24 +18,32 @@ from pyspark.sql import functions as F
 
 from kudoscope.operators.joins import salted_lookup
 
-CELLS = 1024  # buckets per power of two
+RANGES = 1024  # ranges of the value, a power of two
+ACCURACY = 16 * RANGES  # a splitter is off by at most 1/16 of a range
 
 
-def ordered_bucket(value: Column) -> Column:
-    """Bucket number that never decreases with ``value``.
+def splitters(freq: DataFrame, value: str) -> Column:
+    """The sorted values that cut the rows of ``freq`` into ``RANGES`` ranges of
+    about the same size, as one array."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    return freq.agg(F.percentile_approx(F.col(value).cast("double"), shares, ACCURACY)).scalar()
 
-    Cuts every power of two into ``CELLS`` equal cells.  Scaling by a power of
-    two is exact, so neighbours on a cell border always fall on the right side.
-    """
-    size = F.abs(value.cast("double"))
-    octave = F.floor(F.log2(size))
-    cell = octave * CELLS + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * CELLS)
-    offset = 1100 * CELLS  # below the smallest octave of a double
-    last = F.lit(2 * offset)  # infinite values have no octave
-    cell = F.when(size == float("inf"), last).otherwise(cell)
-    return (
-        F.when(value > 0, cell + offset).when(value < 0, -(cell + offset)).otherwise(0)
-    ).cast("bigint")
+
+def range_of(value: Column, cuts: Column) -> Column:
+    """Number of splitters below ``value``, by binary search: it depends on the
+    value alone and never decreases with it."""
+    x = value.cast("double")
+    steps = F.array(*[F.lit(1 << k) for k in range(RANGES.bit_length() - 2, -1, -1)])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.element_at(cuts, at + step) < x, at + step).otherwise(at)
+    )
+
+
+def ranged(freq: DataFrame, value: str) -> DataFrame:
+    """``freq`` with the number ``_range`` of each row's value."""
+    return freq.withColumn("_cuts", splitters(freq, value)).withColumn(
+        "_range", range_of(F.col(value), F.col("_cuts"))
+    ).drop("_cuts")
 
 
 def frequencies(
@@ -65,24 +74,47 @@ def running_total(
             {f"{c}_upto": F.sum(c).over(ordered) for c in counts}
             | {f"{c}_all": F.sum(c).over(whole) for c in counts}
         )
-    cut = freq.withColumn("_bucket", ordered_bucket(F.col(value)))
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    cut = ranged(freq, value)
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
-    totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
+    totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
     offsets = totals.select(
         *by,
-        "_bucket",
+        "_range",
         *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in counts],
         *[F.sum(f"_{c}").over(whole).alias(f"{c}_all") for c in counts],
     )
     inside = (
-        W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     )
     return (
         cut.withColumns({f"_{c}_in": F.sum(c).over(inside) for c in counts})
-        .join(offsets, [*by, "_bucket"])
+        .join(offsets, [*by, "_range"])
         .withColumns({f"{c}_upto": F.col(f"_{c}_before") + F.col(f"_{c}_in") for c in counts})
-        .drop("_bucket", *[f"_{c}_before" for c in counts], *[f"_{c}_in" for c in counts])
+        .drop("_range", *[f"_{c}_before" for c in counts], *[f"_{c}_in" for c in counts])
+    )
+
+
+def with_neighbours(freq: DataFrame, value: str, columns: Sequence[str]) -> DataFrame:
+    """Add the structs ``lower`` and ``higher``: the ``columns`` of the rows with
+    the next value below and above, null at the ends.
+
+    Neighbours inside a range come from a window; at its ends from the first and
+    last row of the ranges beside it."""
+    cut = ranged(freq, value).withColumn("_own", F.struct(*columns))
+    ends = cut.groupBy("_range").agg(
+        F.min_by("_own", value).alias("_first"), F.max_by("_own", value).alias("_last")
+    )
+    ranges = W.orderBy("_range")  # a row for each range
+    ends = ends.select(
+        "_range", F.lag("_last").over(ranges).alias("_below"), F.lead("_first").over(ranges).alias("_above")
+    )
+    inside = W.partitionBy("_range").orderBy(value)
+    return (
+        cut.withColumns({"lower": F.lag("_own").over(inside), "higher": F.lead("_own").over(inside)})
+        .join(ends, "_range")
+        .withColumns({"lower": F.coalesce("lower", "_below"), "higher": F.coalesce("higher", "_above")})
+        .drop("_range", "_own", "_below", "_above")
     )
 
 
@@ -90,7 +122,11 @@ def rank_table(
     df: DataFrame, value: str, by: Sequence[str] = (), discrete: bool = False
 ) -> DataFrame:
     """One row per group and value: rows ``n``, ``rank_max``, ``rank_avg``, ``rank_pct``."""
-    cum = running_total(frequencies(df, value, by), value, ["n"], by, discrete)
+    return _ranks_of(frequencies(df, value, by), value, by, discrete)
+
+
+def _ranks_of(freq: DataFrame, value: str, by: Sequence[str], discrete: bool) -> DataFrame:
+    cum = running_total(freq, value, ["n"], by, discrete)
     average = F.col("n_upto") - (F.col("n") - 1) / F.lit(2.0)
     return cum.select(
         *by,
@@ -106,10 +142,9 @@ def average_rank(
     df: DataFrame, value: str, row_key: str, name: str = "rank_avg", discrete: bool = False
 ) -> DataFrame:
     """Global rank with ties averaged; null values stay unranked."""
-    table = rank_table(df, value, (), discrete).select(
-        value, "n", F.col("rank_avg").alias(name)
-    )
-    return salted_lookup(df, table, [value], "n", F.col(row_key))
+    freq = frequencies(df, value)
+    table = _ranks_of(freq, value, (), discrete).select(value, "n", F.col("rank_avg").alias(name))
+    return salted_lookup(df, table, [value], "n", F.col(row_key), freq)
 
 
 def rank_in_group(
@@ -122,10 +157,11 @@ def rank_in_group(
     discrete: bool = True,
 ) -> DataFrame:
     """Rank (ties get the highest) and percentile (ties averaged) in a group."""
-    table = rank_table(df, value, [group], discrete).select(
+    freq = frequencies(df, value, [group])
+    table = _ranks_of(freq, value, [group], discrete).select(
         group, value, "n", F.col("rank_max").alias(rank), F.col("rank_pct").alias(percentile)
     )
-    return salted_lookup(df, table, [group, value], "n", F.col(row_key))
+    return salted_lookup(df, table, [group, value], "n", F.col(row_key), freq)
 
 
 def quantiles_of(

@@ -1,9 +1,11 @@
 """Exact, repeatable samples and splits ordered by a seeded md5 of the row key.
 
 The order depends on the key alone, so a lost task gives the same rows again.
-A sample of n rows never sorts the table: the 65,536 buckets of the hash prefix
-are counted, which gives the bucket that holds the n-th row, and only that
-bucket is sorted to find the last hash that belongs to the sample.
+A sample of n rows never sorts the table: the n-th row is found digit by digit.
+The 65,536 prefixes of four hexadecimal digits are counted, which gives the prefix
+that holds the n-th row; inside it the next four digits are counted; only the
+rows that share all eight digits (one in four thousand million) are looked at one
+by one, folded by their hash, so repeated keys are one row there.
 """
 
 from __future__ import annotations
@@ -19,35 +21,52 @@ def hash_order(key: str, seed: int) -> Column:
     return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), text)), F.lit(":"), text)
 
 
-def _prefix(order: Column) -> Column:
-    return F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
+DIGITS = 4  # hexadecimal digits counted at a time
+
+
+def _digits(order: Column, level: int) -> Column:
+    return F.conv(F.substring(order, 1 + DIGITS * level, DIGITS), 16, 10).cast("int")
+
+
+def _edge(cells: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """Of every stratum the cell that holds the wanted row, and its place in it.
+
+    ``cells`` has a row for each cell: its rows ``_n`` and the wanted ``_place``."""
+    upto = W.partitionBy(*keys).orderBy(cell).rowsBetween(W.unboundedPreceding, 0)
+    counted = cells.withColumn("_upto", F.sum("_n").over(upto))
+    return counted.where("_upto >= _place and _upto - _n < _place").select(
+        *keys, cell, (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_place")
+    )
+
+
+def prefix_counts(df: DataFrame, key: str, seed: int, stratum: str) -> DataFrame:
+    """Rows ``_n`` of every stratum and first prefix of the seeded order."""
+    return df.groupBy(stratum, _digits(hash_order(key, seed), 0).alias("_first")).agg(F.count("*").alias("_n"))
 
 
 def last_in_sample(
-    df: DataFrame, key: str, seed: int, wanted: DataFrame, stratum: str
+    df: DataFrame, key: str, seed: int, wanted: DataFrame, stratum: str, counts: DataFrame | None = None
 ) -> DataFrame:
-    """Per stratum the hash of the last row to take, plus ``take`` (all/none/some).
-
-    ``wanted`` has ``stratum`` and ``take_rows``; strata are few (classes).
-    """
+    """Per stratum the hash of the last row to take (``last_order``).
+
+    ``wanted`` has ``stratum`` and ``take_rows``; strata are few (classes), so
+    every table of edges has a few rows.  ``counts`` are the prefix counts where
+    the caller has them."""
+    if counts is None:
+        counts = prefix_counts(df, key, seed, stratum)
+    places = wanted.select(stratum, F.col("take_rows").alias("_place"))
+    first = _edge(counts.join(F.broadcast(places), stratum), [stratum], "_first")
     keyed = df.select(F.col(stratum), hash_order(key, seed).alias("_order"))
-    keyed = keyed.withColumn("_prefix", _prefix(F.col("_order")))
-    sizes = keyed.groupBy(stratum, "_prefix").agg(F.count("*").alias("_n"))
-    upto = W.partitionBy(stratum).orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)
-    edge = (
-        sizes.withColumn("_upto", F.sum("_n").over(upto))
-        .join(F.broadcast(wanted), stratum)
-        .where("_upto >= take_rows and _upto - _n < take_rows")
-        .select(stratum, "_prefix", (F.col("take_rows") - F.col("_upto") + F.col("_n")).alias("_place"))
-    )
-    place = W.partitionBy(stratum).orderBy("_order")
+    keyed = keyed.withColumns({"_first": _digits(F.col("_order"), 0), "_second": _digits(F.col("_order"), 1)})
+    under = keyed.join(F.broadcast(first), [stratum, "_first"])
+    cells = under.groupBy(stratum, "_first", "_second").agg(F.count("*").alias("_n"), F.max("_place").alias("_place"))
+    second = _edge(cells, [stratum, "_first"], "_second")
     last = (
-        keyed.join(F.broadcast(edge), [stratum, "_prefix"])
-        .withColumn("_row", F.row_number().over(place))
-        .where("_row = _place")
-        .select(stratum, F.col("_order").alias("last_order"))
+        keyed.join(F.broadcast(second), [stratum, "_first", "_second"])
+        .groupBy(stratum, "_order")
+        .agg(F.count("*").alias("_n"), F.max("_place").alias("_place"))
     )
-    return last
+    return _edge(last, [stratum], "_order").select(stratum, F.col("_order").alias("last_order"))
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -64,15 +83,14 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.where(F.coalesce(hash_order(key, seed) <= limit, F.lit(True)))
 
 
-def strata_quota(df: DataFrame, stratum: str | None, fraction: float) -> DataFrame:
-    """Rows to put aside per stratum for an evaluation share of ``fraction``.
+def strata_quota(sizes: DataFrame, fraction: float) -> DataFrame:
+    """Rows to put aside per ``_stratum`` of ``_n`` rows for an evaluation share of
+    ``fraction``.
 
     ceil(rows * fraction) rows in all.  The training side is shared out by
     largest remainder, the rest of each stratum goes to the evaluation side;
     a table with one class is not stratified and a single row is never split.
     """
-    base = df.select((F.col(stratum) if stratum else F.lit(0)).alias("_stratum"))
-    sizes = base.groupBy("_stratum").agg(F.count("*").alias("_n"))
     whole = W.partitionBy()  # one row per class
     total = F.sum("_n").over(whole)
     aside = F.ceil(total * F.lit(fraction))
@@ -102,8 +120,9 @@ def mark_evaluation(
     if stratum is not None and stratum not in df.columns:
         stratum = None
     marked = df.withColumn("_stratum", F.col(stratum) if stratum else F.lit(0))
-    wanted = strata_quota(df, stratum, fraction)
-    last = last_in_sample(marked, key, seed, wanted.where("take_rows > 0"), "_stratum")
+    counts = prefix_counts(marked, key, seed, "_stratum")
+    wanted = strata_quota(counts.groupBy("_stratum").agg(F.sum("_n").alias("_n")), fraction)
+    last = last_in_sample(marked, key, seed, wanted.where("take_rows > 0"), "_stratum", counts)
     return (
         marked.join(F.broadcast(last), "_stratum", "left")
         .withColumn(
@@ -140,7 +159,8 @@ def stratified_sample(
 ) -> DataFrame:
     """Exactly ``n`` rows with the class shares of the table (largest remainder)."""
     base = df.withColumn("_stratum", F.col(stratum) if stratum else F.lit(0))
-    sizes = base.groupBy("_stratum").agg(F.count("*").alias("_n"))
+    counts = prefix_counts(base, key, seed, "_stratum")
+    sizes = counts.groupBy("_stratum").agg(F.sum("_n").alias("_n"))
     whole = W.partitionBy()  # one row per class
     share = F.lit(n) * F.col("_n") / F.sum("_n").over(whole)
     sized = sizes.withColumns(
@@ -158,7 +178,7 @@ def stratified_sample(
             ),
         ).alias("take_rows"),
     )
-    last = last_in_sample(base, key, seed, wanted.where("take_rows > 0"), "_stratum")
+    last = last_in_sample(base, key, seed, wanted.where("take_rows > 0"), "_stratum", counts)
     return (
         base.join(F.broadcast(last), "_stratum")
         .where(hash_order(key, seed) <= F.col("last_order"))

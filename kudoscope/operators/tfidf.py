@@ -7,6 +7,7 @@ from that vocabulary, without a shuffle and without leaving sparse form.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,11 +19,12 @@ from pyspark.ml.feature import (
     StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kudoscope.functions import text
+from kudoscope.session import keep, release
 
 
 def english_stop_words() -> list[str]:
@@ -134,33 +136,82 @@ class TfidfModel:
         return PipelineModel(stages=[counts, weigh, unit])
 
 
+CELLS = 1 << 22  # counters of the first pass
+
+
+def _cell(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(CELLS))
+
+
+def frequent_cells(terms: DataFrame, min_df: int) -> Column:
+    """Bits, as one array of numbers, of the hash cells whose terms together are
+    in ``min_df`` documents: a term outside them cannot be in so many.
+
+    Only cell numbers are shuffled, folded per task before."""
+    cells = terms.select(F.explode(F.array_distinct(F.transform("terms", _cell))).alias("cell"))
+    full = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= min_df)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("cell", F.lit(64)).cast("int"))
+    words = full.groupBy(F.floor(F.col("cell") / 64).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = terms.sparkSession.range(CELLS // 64).join(words, "id", "left")  # of a fixed size
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(F.transform(listed, lambda e: e["bits"])).scalar()
+
+
+def _in_cells(term: Column, bits: Column) -> Column:
+    cell = _cell(term)
+    word = F.element_at(bits, F.floor(cell / 64).cast("int") + 1)
+    shifted = F.call_function("shiftright", word, F.pmod(cell, F.lit(64)).cast("int"))
+    return shifted.bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def term_counts(words: DataFrame, settings: TermSettings) -> DataFrame:
+    """``term``, ``df``, ``total`` of the terms that can reach ``min_df``; the row
+    without a term holds the number of documents.
+
+    A first pass counts hashes only; terms that cannot be frequent enough are dropped
+    inside the row, before any string is shuffled.  The terms left are sorted in the
+    row, so the first of equal ones counts the document."""
+    low, high = settings.ngram_range
+    terms = words.select(text.ngrams(F.col("words"), low, high).alias("terms"))
+    if settings.min_df > 1:
+        terms = terms.withColumn("bits", frequent_cells(terms, settings.min_df)).select(
+            F.filter("terms", lambda t: _in_cells(t, F.col("bits"))).alias("terms")
+        )
+    ordered = terms.select(F.sort_array("terms").alias("t"))
+    entry = F.transform(
+        F.col("t"),
+        lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("t", i - 1))).cast("int").alias("first")),
+    )
+    document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
+    return (
+        ordered.select(F.inline(F.concat(document, entry)))
+        .groupBy("term")
+        .agg(F.sum("first").alias("df"), F.count("*").alias("total"))
+    )
+
+
 def fit_tfidf(train: DataFrame, column: str = "text", settings: TermSettings | None = None) -> TfidfModel:
     """Learn vocabulary and idf; only the bounded vocabulary reaches the driver.
 
-    Terms are counted per document by ``array_distinct`` inside the row, so no
-    document key is shuffled.
+    The texts are split into words once; both passes read the kept words.
     """
     settings = settings or TermSettings()
-    terms = add_terms(train.select(column), column, settings)
-    once = F.transform(
-        F.array_distinct("terms"),
-        lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("total")),
-    )
-    every = F.transform(
-        F.col("terms"),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("total")),
-    )
-    counts = (
-        terms.select(F.inline(F.concat(once, every)))
-        .groupBy("term")
-        .agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-        .where(F.col("df") >= settings.min_df)
-        .orderBy(F.desc("total"), F.asc("term"))
-        .limit(settings.max_features)
-    )
-    rows = train.agg(F.count("*")).scalar()
-    table = counts.withColumn("idf", smooth_idf(F.col("df"), rows)).orderBy("term").collect()
-    return TfidfModel([r["term"] for r in table], [r["idf"] for r in table], settings, column)
+    words = text.without(text.tokens(text.filled(F.col(column))), settings.stops())
+    kept = keep(train.select(words.alias("words")))
+    try:
+        found = (
+            term_counts(kept, settings)
+            .where(F.col("term").isNull() | (F.col("df") >= settings.min_df))
+            .orderBy(F.desc(F.col("term").isNull()), F.desc("total"), F.asc("term"))
+            .limit(settings.max_features + 1)
+            .collect()
+        )
+    finally:
+        release(kept)
+    rows = next((r["total"] for r in found if r["term"] is None), 0)
+    table = sorted(((r["term"], r["df"]) for r in found if r["term"] is not None), key=lambda r: r[0].encode())
+    idf = [math.log((1.0 + rows) / (1.0 + n)) + 1 for _, n in table]
+    return TfidfModel([t for t, _ in table], idf, settings, column)
 
 
 def rank_phrases(

@@ -24,7 +24,7 @@ def report_base(
     business: DataFrame,
     users: DataFrame | None = None,
     sentiment: DataFrame | None = None,
-    salt_by: str | None = None,
+    salt_by: str | None = "review_id",
 ) -> DataFrame:
     """Review rows with helpful votes, calendar, text statistics and side columns.
 
@@ -42,7 +42,7 @@ def report_base(
         | text.text_stats(F.col("text"))
     ).drop("text")
     biz = business.select("business_id", "city", "state", "categories")
-    df = joins.attach(df, biz, "business_id", "_business", salt_by)
+    df = joins.attach(df, biz, "business_id", "_business", salt_by, reviews)
     df = df.withColumn("city", F.coalesce("city", F.lit("Unknown")))
     if users is not None:
         side = users.select(
@@ -51,7 +51,7 @@ def report_base(
             F.col("fans").alias("user_fans"),
             F.col("average_stars").alias("user_average_stars"),
         )
-        df = joins.attach(df, side, "user_id", "_user", salt_by)
+        df = joins.attach(df, side, "user_id", "_user", salt_by, reviews)
     if sentiment is not None:
         df = joins.attach(df, sentiment, "review_id", "_sent")
     return df
@@ -64,8 +64,8 @@ def report_tables(base: DataFrame) -> dict[str, DataFrame]:
         "helpful_histogram": aggregates.histogram(base, "helpful_log1p", BINS),
         "by_month": aggregates.mean_by_domain(base, "month", "helpful", range(1, 13)),
         "by_weekday": aggregates.mean_by_domain(base, "weekday", "helpful", dates.WEEKDAYS),
-        "by_city": aggregates.group_summary(base, "city", "helpful", TOP_CITIES),
-        "by_category": aggregates.list_summary(base, "categories", "helpful", TOP_CATEGORIES),
+        "by_city": aggregates.group_summary(base, "city", "helpful", TOP_CITIES, discrete=True),
+        "by_category": aggregates.list_summary(base, "categories", "helpful", TOP_CATEGORIES, discrete=True),
         "by_meta_category": aggregates.flag_means(
             base, categories.meta_flags(F.col("categories")), "helpful"
         ),

@@ -52,8 +52,10 @@ def review_columns(reviews: DataFrame) -> DataFrame:
     return df.withColumns(new | text.text_stats(F.col("text")))
 
 
-def attach_business(df: DataFrame, business: DataFrame, salt_by: str | None = None) -> DataFrame:
-    df = joins.attach(df, side_columns(business, BUSINESS_COLUMNS), "business_id", "_business", salt_by)
+def attach_business(
+    df: DataFrame, business: DataFrame, salt_by: str | None = None, hot_from: DataFrame | None = None
+) -> DataFrame:
+    df = joins.attach(df, side_columns(business, BUSINESS_COLUMNS), "business_id", "_business", salt_by, hot_from)
     reviews_of = F.coalesce("business_review_count", F.lit(0))
     return df.withColumns(
         {
@@ -70,7 +72,7 @@ def review_features(
     users: DataFrame | None = None,
     backend: str | None = "lexicon",
     key: str = "review_id",
-    salt_by: str | None = None,
+    salt_by: str | None = "review_id",
     **sentiment_options,
 ) -> DataFrame:
     """Everything above in one plan; ``backend=None`` leaves sentiment out."""
@@ -78,10 +80,10 @@ def review_features(
     if backend is not None:
         scores = sentiment.score_sentiment(reviews.select(key, "text"), key, "text", backend, **sentiment_options)
         df = joins.attach(df, scores, key, "_sent")
-    df = attach_business(df, business, salt_by)
+    df = attach_business(df, business, salt_by, reviews)
     df = _flag_top(df, reviews, business)
     if users is not None:
-        df = joins.attach(df, side_columns(users, USER_COLUMNS), "user_id", "_user", salt_by)
+        df = joins.attach(df, side_columns(users, USER_COLUMNS), "user_id", "_user", salt_by, reviews)
     return df
 
 

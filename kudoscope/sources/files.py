@@ -57,9 +57,14 @@ def is_raw_file(path: str) -> bool:
     return path.lower().endswith(ENDINGS)
 
 
+def base_name(path: str) -> str:
+    """File name without folder."""
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
 def stem(path: str) -> str:
     """File name without folder and raw ending."""
-    name = path.rstrip("/").rsplit("/", 1)[-1]
+    name = base_name(path)
     for ending in sorted(ENDINGS, key=len, reverse=True):
         if name.lower().endswith(ending):
             return name[: -len(ending)]

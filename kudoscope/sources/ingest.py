@@ -14,10 +14,9 @@ SHARD = "shard"
 
 
 def shard_of(path: Column) -> Column:
-    """Shard name of a raw file: its name without folder and ending."""
-    name = F.element_at(F.split(path, "/"), -1)
-    endings = "|".join(e.replace(".", r"\.") for e in sorted(files.ENDINGS, key=len, reverse=True))
-    return F.regexp_replace(F.url_decode(name), rf"(?i)({endings})$", "")
+    """Shard name of a raw file: its name with its ending, so ``a.json`` and
+    ``a.json.gz`` are two shards."""
+    return F.url_decode(F.element_at(F.split(path, "/"), -1))
 
 
 def with_shard(rows: DataFrame) -> DataFrame:
@@ -27,7 +26,7 @@ def with_shard(rows: DataFrame) -> DataFrame:
 def pending_files(spark: SparkSession, paths: Sequence[str], target: str) -> list[str]:
     """Raw files without a shard in ``target``."""
     done = {p.rsplit(f"{SHARD}=", 1)[-1] for p in files.match(spark, f"{target}/{SHARD}=*")}
-    return [p for p in paths if files.stem(p) not in done]
+    return [p for p in paths if files.base_name(p) not in done]
 
 
 def convert(

@@ -38,11 +38,34 @@ def test_quantile_bins_equal_qcut(spark, values):
     assert got.fillna(-1).astype(int).tolist() == want.fillna(-1).astype(int).tolist()
 
 
-def test_ordered_bucket_never_decreases(spark):
+def test_ranges_never_decrease_and_spread_dense_values(spark):
     values = sorted({float(np.nextafter(2.0**k, d)) for k in range(-20, 40) for d in (-np.inf, np.inf)} | {2.0**k for k in range(-20, 40)} | {0.0, -1.0, -2.5, -2.0, 1e-300, 5e-324, 1e300})
-    df = frame(spark, values).select("i", ranks.ordered_bucket(F.col("v")).alias("b")).orderBy("i")
-    buckets = [r["b"] for r in df.collect()]
-    assert buckets == sorted(buckets)
+    df = ranks.ranged(frame(spark, values), "v").orderBy("i")
+    buckets = [r["_range"] for r in df.collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 100
+    # 200,000 values within a few millionths of each other
+    dense = spark.range(200_000).select(F.col("id").alias("i"), (F.lit(0.9999) + F.col("id") * 1e-10).alias("v"))
+    sizes = [r["count"] for r in ranks.ranged(dense, "v").groupBy("_range").count().collect()]
+    assert len(sizes) > 900 and max(sizes) < 1000
+    row = ranks.rank_table(dense, "v").agg(F.max("rank_max"), F.sum("rank_avg"), F.count("*")).first()
+    assert tuple(row) == (200_000, 200_000 * 200_001 / 2, 200_000)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.floats(allow_nan=False, width=32)), min_size=1, max_size=60))
+def test_running_totals_and_neighbours_equal_brute_force(spark, rows):
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    pdf["v"] += 0.0  # no negative zero
+    pdf = pdf.drop_duplicates().sort_values(["g", "v"]).reset_index(drop=True)
+    pdf["n"] = pdf.index % 5
+    got = ranks.running_total(spark.createDataFrame(pdf), "v", ["n"], ["g"]).orderBy("g", "v").toPandas()
+    assert got["n_upto"].tolist() == pdf.groupby("g")["n"].cumsum().tolist()
+    assert got["n_all"].tolist() == pdf.groupby("g")["n"].transform("sum").tolist()
+    one = pdf.drop_duplicates("v").sort_values("v").reset_index(drop=True)
+    near = ranks.with_neighbours(spark.createDataFrame(one), "v", ["n"]).orderBy("v").collect()
+    want = [None, *one["n"].tolist(), None]
+    assert [r["lower"] and r["lower"]["n"] for r in near] == want[:-2]
+    assert [r["higher"] and r["higher"]["n"] for r in near] == want[2:]
 
 
 def test_rank_in_group_with_a_hot_group(spark):
@@ -94,9 +117,7 @@ def test_correlations_with_nulls_and_constants(spark):
         assert got[("a", "c")] is None
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_spearman_matrix(spark, monkeypatch, small):
-    monkeypatch.setattr(correlation, "SMALL_TABLE_ROWS", small)
+def test_spearman_matrix(spark):
     rng = np.random.default_rng(7)
     pdf = pd.DataFrame({"i": range(400), "a": rng.integers(0, 3, 400).astype(float), "b": rng.normal(size=400), "c": rng.normal(size=400), "k": 2.0})
     pdf.loc[::6, "c"] = np.nan
@@ -157,5 +178,5 @@ def test_infinite_values_rank_at_the_ends(spark):
     from kudoscope.operators import ranks
 
     rows = spark.createDataFrame([(float("inf"),), (1.0,), (-5e300,), (float("-inf"),)], "v double")
-    got = [r[0] for r in rows.orderBy(ranks.ordered_bucket(F.col("v"))).collect()]
+    got = [r[0] for r in ranks.ranged(rows, "v").orderBy("_range").collect()]
     assert got == [float("-inf"), -5e300, 1.0, float("inf")]

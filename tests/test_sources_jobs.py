@@ -164,3 +164,17 @@ def test_overwrite_replaces_all_partitions(spark, tmp_path):
     sinks.write_parquet(rows, path, partition_by=["side"])
     sinks.write_parquet(rows.where("side = 'train'"), path, partition_by=["side"])
     assert [r.v for r in spark.read.parquet(path).collect()] == [1]
+
+
+def test_files_that_differ_by_their_ending_are_two_shards(spark, tmp_path):
+    import gzip
+
+    raw, out = tmp_path / "reviews", str(tmp_path / "parquet")
+    raw.mkdir()
+    (raw / "a.json").write_text('{"review_id": "r1"}\n')
+    assert len(ingest.convert(spark, "reviews", [str(raw / "a.json")], out)) == 1
+    (raw / "a.json.gz").write_bytes(gzip.compress(b'{"review_id": "r2"}\n{"review_id": "r3"}\n'))
+    paths = [str(raw / "a.json"), str(raw / "a.json.gz")]
+    assert ingest.convert(spark, "reviews", paths, out) == paths[1:]
+    assert ingest.convert(spark, "reviews", paths, out) == []
+    assert sorted(r["review_id"] for r in readers.read_shards(spark, "reviews", out).collect()) == ["r1", "r2", "r3"]
