@@ -3,23 +3,33 @@ trees select among overlapping candidates.
 
 * Base: e-mail, IP, card and phone patterns, leftmost and non-overlapping per
   kind, with their checks.  Base spans always stay.
-* Candidates: wide patterns (written-out addresses, digit groups, long
-  letter-digit tokens).  They may overlap each other and the base spans.
-* A boosted-tree model scores each candidate by its format and context.  It is
-  fitted on candidates of a bounded sample of documents (``sample_docs``); a
-  candidate counts as positive where it covers a base span or, for tokens,
-  stands behind a cue word.  The checks of the base (Luhn, number ranges) and
-  the cue words are no features, so near misses score like the real thing.
-* The cut is calibrated on held-out candidates: the lowest score from which on
-  at least ``precision`` of them are positive.
+* Candidates: wide patterns (written-out addresses and their like, digit groups,
+  long tokens).  They may overlap each other and the base spans.
+* One boosted-tree model per generator scores its candidates by format and context.
+  The marks that the base asks for are hidden from it: at and dot are written alike
+  before features are taken, a leading ``+`` is cut off, Luhn, the ranges of numbers and
+  cue words are no features.  So an address that is written out, a phone without ``+``
+  or a token without a cue word scores like the one that the base or a cue shows.
+* A base phone also stands in the sample without its country code.
+* Labels: a candidate that overlaps a base span (a token behind a cue word) is positive;
+  one that could not be personal data by its shape alone (see ``_label``) is negative; free
+  near misses are not labelled, as they are what is to be found.
+* Labels are counted over all documents.  The trees are fitted on at most ``sample_rows``
+  candidates of each generator and label, drawn by (row id, place) over all documents; one
+  candidate in four is never fitted on, and the cut of each generator comes from the scores
+  of all of those, in all documents: the lowest score from which on at least ``precision``
+  of them are positive.  A generator without candidates of both labels, or without
+  such a score, selects nothing, and a warning says so.
 
 The fitted trees become column expressions, so documents are read, matched and
 scored in one pass without a shuffle.  Nulls and blank texts have no spans;
-repeated rows are treated alike.
+repeated rows are treated alike, very long texts are matched whole, other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -28,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kudoscope.llm.common import before, fresh, let
+from kudoscope.session import keep, release
 
 # Kinds in the order of the query, and their patterns.  Loops at
 # the end of a pattern are possessive (nothing follows that could need a way
@@ -43,33 +54,41 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "ph
 
 # Candidate patterns and cue words.
 CANDIDATES = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?"
-    r"[A-Za-z0-9-]++\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,}+(?:\.[A-Za-z]{2,}+)*+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?(?:@|\(at\)|\[at\])\x20?|\x20at\x20)"
+    r"[A-Za-z0-9-]++(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,}+)*+",
     "number": r"(?<![A-Za-z0-9])[+(]{0,2}[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])",
-    "token": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}+",
+    "token": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
-CANDIDATE_NEEDS = {"email": r"@|\(at\)|\[at\]|\x20dot\x20|\(dot\)", "number": "[0-9][\\x20()./-]{0,2}[0-9]", "token": "[A-Za-z0-9_-]{20}"}
+CANDIDATE_NEEDS = {"email": r"@|\(at\)|\[at\]|\x20at\x20", "number": "[0-9][\\x20()./-]{0,2}[0-9]", "token": "[A-Za-z0-9_-]{20}"}
+AT, DOT = r"\x20?(?:@|\(at\)|\[at\])\x20?|\x20at\x20", r"\x20?[(\[]dot[)\]]\x20?|\x20dot\x20"
 CUE = r"(?i)(token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\x20?[=:]\x20?[\"']?\z"
 CONTEXT = 24
 
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
-CANDIDATE_SPANS = "array<struct<start:bigint,end:bigint,text:string,maker:string,ahead:string,behind:string>>"
+CANDIDATE_SPANS = "array<struct<start:bigint,end:bigint,text:string,maker:string,ahead:string,behind:string,plain:string>>"
 
 FEATURES = (
-    "n_digits", "n_letters", "n_upper", "n_seps", "n_dots", "n_groups", "longest_group", "plus", "parens",
-    "at", "spaces", "length", "quoted", "line_start", "digit_before", "colon_before", "word_before", "word_after",
+    "n_digits", "n_letters", "n_upper", "n_seps", "n_dots", "n_groups", "longest_group", "first_group", "last_group",
+    "ahead_of_at", "ending", "length", "quoted", "line_start", "digit_before", "colon_before", "word_before", "word_after",
 )
 
 
 @dataclass(frozen=True)
-class Model:
-    """Trees as nested ``(feature, threshold, left, right)`` or leaf values, their weights and the cut."""
+class Trees:
+    """Nested ``(feature, threshold, left, right)`` or leaf values, their weights and the cut."""
 
     trees: tuple
     weights: tuple
     cut: float
 
 
+@dataclass(frozen=True)
+class Model:
+    """The fitted trees of the generators that select anything."""
+
+    parts: dict[str, Trees]
+
+
 def found(text: Column, pattern: str, needs: str) -> Column:
     """Leftmost non-overlapping matches with code-point places."""
 
@@ -146,14 +165,21 @@ def candidates(text: Column) -> Column:
                     F.least(m["start"], F.lit(CONTEXT)).cast("int"),
                 ).alias("ahead"),
                 F.substr(text, (m["end"] + 1).cast("int"), F.lit(2)).alias("behind"),
+                plain(m).alias("plain"),
             ),
         )
 
     return F.concat(*[of(maker).cast(CANDIDATE_SPANS) for maker in CANDIDATES])
 
 
+def plain(c: Column) -> Column:
+    """The candidate with the marks of the base hidden: one way to write at and dot,
+    no leading plus."""
+    return F.ltrim(F.regexp_replace(F.regexp_replace(c["text"], AT, "@"), DOT, "."), F.lit("+"))
+
+
 def _features(c: Column) -> dict[str, Column]:
-    t, ahead = c["text"], c["ahead"]
+    t, ahead = c["plain"], c["ahead"]
 
     def count(pattern: str) -> Column:
         return F.regexp_count(t, F.lit(pattern)).cast("double")
@@ -161,17 +187,38 @@ def _features(c: Column) -> dict[str, Column]:
     def flag(x: Column) -> Column:
         return F.when(x, F.lit(1.0)).otherwise(F.lit(0.0))
 
+    def size(i: int, groups: Column) -> Column:
+        return F.coalesce(F.try_element_at(groups, F.lit(i)), F.lit(0)).cast("double")
+
     groups = F.transform(F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0)), lambda g: F.length(g))
     values = (
-        count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[().-]"), count(r"\."), count("[0-9]+"),
-        F.coalesce(F.array_max(groups), F.lit(0)).cast("double"), flag(F.startswith(t, F.lit("+"))), count(r"\("),
-        flag(F.contains(t, F.lit("@"))), count(r"\x20"), F.length(t).cast("double"),
+        count("[0-9]"), count("[A-Za-z]"), count("[A-Z]"), count("[ ()/-]"), count(r"\."), count("[0-9]+"),
+        F.coalesce(F.array_max(groups), F.lit(0)).cast("double"), size(1, groups), size(-1, groups),
+        F.greatest(F.instr(t, "@") - 1, F.lit(0)).cast("double"), F.length(F.regexp_extract(t, r"\.([A-Za-z]+)\z", 1)).cast("double"),
+        F.length(t).cast("double"),
         flag(ahead.rlike("[\"']\\z")), flag(ahead.rlike(r"(\n|\A)\z")), flag(ahead.rlike(r"[0-9]\x20?\z")),
         flag(ahead.rlike(r"[:=]\x20?[\"']?\z")), flag(ahead.rlike(r"[A-Za-z]\x20\z")), flag(c["behind"].rlike(r"^\x20?[A-Za-z]")),
     )
     return dict(zip(FEATURES, values))
 
 
+def _label(c: Column, base: Column, f: dict[str, Column]) -> Column:
+    """1, 0, or null for a free candidate of a shape that could be personal data.
+
+    By shape alone these are no personal data: no dot behind the at, less than 10 or more
+    than 19 digits, a single run of 10 to 13 digits, a token without digits or without
+    letters."""
+    hit = F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    digits = f["n_digits"]
+    free = (
+        F.when(c["maker"] == "email", f["ending"] == 0)
+        .when(c["maker"] == "number", (digits < 10) | (digits > 19) | ((f["n_groups"] == 1) & (digits < 14)))
+        .otherwise((digits == 0) | (f["n_letters"] == 0))
+    )
+    positive = F.when(c["maker"] == "token", c["ahead"].rlike(CUE) & ~free).otherwise(hit)
+    return F.when(positive, F.lit(1.0)).when(~hit & free, F.lit(0.0))
+
+
 def _tree(node, f: Column) -> Column:
     if not isinstance(node, tuple):
         return F.lit(float(node))
@@ -179,7 +226,7 @@ def _tree(node, f: Column) -> Column:
     return F.when(f[name] <= at, _tree(left, f)).otherwise(_tree(right, f))
 
 
-def _sum_of_trees(model: Model, f: Column) -> Column:
+def _sum_of_trees(model: Trees, f: Column) -> Column:
     """Positive sums lean to personal data."""
     out = F.lit(0.0)
     for weight, t in zip(model.weights, model.trees):
@@ -187,9 +234,14 @@ def _sum_of_trees(model: Model, f: Column) -> Column:
     return out
 
 
-def _scored(model: Model, c: Column) -> Column:
+def _chosen(model: Model, c: Column) -> Column:
+    """Do the trees of the candidate's generator score it at their cut or above?"""
+    out = F.lit(False)
     packed = F.struct(*[v.alias(k) for k, v in _features(c).items()])
-    return let(packed, lambda f: _sum_of_trees(model, f))
+    for maker, part in model.parts.items():
+        score = let(packed, lambda f: _sum_of_trees(part, f))  # noqa: B023
+        out = F.when(c["maker"] == maker, score >= part.cut).otherwise(out)
+    return out
 
 
 def _nodes(node):
@@ -199,61 +251,96 @@ def _nodes(node):
     return (FEATURES[split.featureIndex()], float(split.threshold()), _nodes(node.leftChild()), _nodes(node.rightChild()))
 
 
+def _masked(c: Column, base: Column) -> Column:
+    """The candidate and, for one that holds a base phone, the same without its
+    country code: the form that the base cannot show."""
+    phone = F.exists(base, lambda b: (b["kind"] == "phone") & (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    short = F.regexp_replace(c["plain"], r"^[0-9]{1,3}[\x20.-]+", "")
+    both = F.array(c, c.withField("plain", short))
+    return F.when(phone & (short != c["plain"]), both).otherwise(F.array(c))
+
+
+def labelled(docs: DataFrame, seed: int) -> DataFrame:
+    """Labelled candidates of all documents: maker, label, features, and a draw that
+    depends on the row's id, its text and the place."""
+    t = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("row"), t.alias("text")).select(
+        "row", base_spans(F.col("text")).alias("base"), F.explode(candidates(F.col("text"))).alias("c")
+    )
+    rows = rows.select("row", "base", F.explode(_masked(F.col("c"), F.col("base"))).alias("c"))
+    packed = F.struct(*[v.alias(k) for k, v in _features(F.col("c")).items()])
+    rows = rows.select("row", "base", "c", packed.alias("f"))
+    label = _label(F.col("c"), F.col("base"), {k: F.col(f"f.{k}") for k in FEATURES})
+    return rows.select(
+        F.col("c.maker").alias("maker"), label.alias("label"), F.xxhash64("row", "c.start", "c.text").alias("draw"), "f.*"
+    ).where("label is not null")
+
+
 def fit(
-    docs: DataFrame, sample_docs: int = 4000, precision: float = 0.95, rounds: int = 8, depth: int = 3, seed: int = 7
+    docs: DataFrame, sample_rows: int = 2000, precision: float = 0.95, rounds: int = 6, depth: int = 3, seed: int = 7
 ) -> Model | None:
-    """Fit and calibrate on candidates of about ``sample_docs`` documents drawn
-    by hash (all of them in smaller tables).  None where the sample has no
-    positive or no negative candidate: then only base spans are found."""
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    n = texts.count()
-    if n == 0:
+    """Fit on a bounded sample, calibrate on all documents; None for an empty table."""
+    if docs.isEmpty():
         return None
-    drawn = texts
-    if n > sample_docs:
-        share = int(1_000_000 * sample_docs / n) or 1
-        drawn = texts.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) < share)
-    rows = drawn.select(base_spans(F.col("text")).alias("base"), F.explode(candidates(F.col("text"))).alias("c"))
-    hit = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
-    label = F.when((F.col("c.maker") == "token"), F.col("c.ahead").rlike(CUE)).otherwise(hit)
-    table = rows.select(
-        label.cast("double").alias("label"),
-        (F.pmod(F.xxhash64(F.lit(seed + 1), "c.text", "c.start"), F.lit(4)) == 0).alias("held"),
-        *[v.alias(k) for k, v in _features(F.col("c")).items()],
-    )
-    table = table.repartition(2).cache()
+    table = labelled(docs, seed)
+    sizes = {(r["maker"], r["label"]): r["n"] for r in table.groupBy("maker", "label").agg(F.count("*").alias("n")).collect()}
+    held = F.pmod("draw", F.lit(4)) == 0
+    share = F.lit(0.0)
+    for (maker, label), n in sizes.items():
+        mine = (F.col("maker") == maker) & (F.col("label") == label)
+        share = F.when(mine, F.lit(min(1.0, sample_rows / n))).otherwise(share)
+    # the draw's high bits; its low bits say what is held back
+    drawn = keep(table.where(~held & (F.shiftrightunsigned("draw", 11) * F.lit(2.0**-53) < share)))
+    parts = {}
     try:
-        seen = {r["label"] for r in table.where("not held").select("label").distinct().collect()}
-        if seen != {0.0, 1.0}:
-            return None
-        fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed).fit(
-            VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table.where("not held"))
-        )
-        trees = tuple(_nodes(t._java_obj.rootNode()) for t in fitted.trees)
-        model = Model(trees, tuple(float(w) for w in fitted.treeWeights), 0.0)
-        score = _sum_of_trees(model, F.struct(*FEATURES))
-        # as many rows as the trees have distinct sums
-        steps = (
-            table.where("held")
-            .groupBy(F.round(score, 6).alias("score"))
-            .agg(F.sum("label").alias("yes"), F.count("*").alias("n"))
-            .orderBy(F.desc("score"))
-            .collect()
-        )
-        cut, yes, n_all = float("inf"), 0.0, 0
-        for row in steps:
-            yes, n_all = yes + row["yes"], n_all + row["n"]
-            if row["score"] > 0 and yes >= precision * n_all:
-                cut = row["score"] - 1e-6
-        return Model(model.trees, model.weights, cut)
+        for maker in CANDIDATES:
+            mine = drawn.where(F.col("maker") == maker)
+            if {r["label"] for r in mine.select("label").distinct().collect()} != {0.0, 1.0}:
+                warnings.warn(f"{maker}: no labelled candidates of both kinds, only base spans are found", stacklevel=2)
+                continue
+            fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed).fit(
+                VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(mine)
+            )
+            trees = tuple(_nodes(t._java_obj.rootNode()) for t in fitted.trees)
+            parts[maker] = Trees(trees, tuple(float(w) for w in fitted.treeWeights), 0.0)
     finally:
-        table.unpersist()
+        release(drawn)
+    return Model(_calibrated(table.where(held), parts, precision))
+
+
+def _calibrated(held: DataFrame, parts: dict[str, Trees], precision: float) -> dict[str, Trees]:
+    """The trees with their cuts, from all held candidates of all documents."""
+    if not parts:
+        return {}
+    score = F.lit(None).cast("double")
+    for maker, part in parts.items():
+        score = F.when(F.col("maker") == maker, _sum_of_trees(part, F.struct(*FEATURES))).otherwise(score)
+    steps = (  # as many rows as the trees have distinct sums
+        held.groupBy("maker", F.round(score, 4).alias("score"))
+        .agg(F.sum("label").alias("yes"), F.count("*").alias("n"))
+        .where("score > 0")
+        .orderBy("maker", F.desc("score"))
+        .collect()
+    )
+    out = {}
+    for maker, part in parts.items():
+        cut, yes, total = float("inf"), 0.0, 0
+        for row in steps:
+            if row["maker"] == maker:
+                yes, total = yes + row["yes"], total + row["n"]
+                if yes >= precision * total:
+                    cut = row["score"] - 1e-4
+        if cut == float("inf"):
+            warnings.warn(f"{maker}: no score reaches the precision, only base spans are found", stacklevel=3)
+        else:
+            out[maker] = Trees(part.trees, part.weights, cut)
+    return out
 
 
 def all_spans(text: Column, base: Column, model: Model | None) -> Column:
     """Base spans and the selected candidates that no base span already covers
     or overlaps, in order.  Added spans carry the kind of their shape."""
-    if model is None or model.cut == float("inf"):
+    if model is None or not model.parts:
         return base
     digits = lambda c: F.regexp_count(c["text"], F.lit("[0-9]"))
     kind = lambda c: (
@@ -266,7 +353,7 @@ def all_spans(text: Column, base: Column, model: Model | None) -> Column:
     free = F.filter(
         candidates(text), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
     )
-    chosen = F.filter(free, lambda c: _scored(model, c) >= model.cut)
+    chosen = F.filter(free, lambda c: _chosen(model, c))
     added = F.transform(
         chosen,
         lambda c: let(
