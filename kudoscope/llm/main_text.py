@@ -1,23 +1,26 @@
 """Main text of web pages by template deduction over the pages of a host.
 
 Tokens are tags and text pieces, told apart by their path of open elements.
-Tokens with the same occurrence vector over a host's pages (how often in which
-page) form a class; vectors are compared by page counts, totals and a sum of
-page hashes, which partial aggregates can build for hosts of any size.  Classes
-of three tokens or more that occur in most pages are valid if their span of
-page places lies inside or outside the span of every better supported class;
+Pages of a host whose articles read alike are one page here: copies say nothing
+about a template.  Tokens with the same occurrence vector over a host's different
+pages (how often in which page) form a class; vectors are compared by page counts,
+totals and a sum of page hashes, which partial aggregates can build for hosts of any
+size.  Classes of three tokens or more that occur in most pages are valid if their
+span of page places lies inside or outside the span of every better supported class;
 the valid classes together are the host's template.
 
 Text pieces that the template does not hold are slots.  A page's main text are
 the slots of its article (or main) element; where it has none, those of the
-body without link lists.  Navigation, headers, footers, sidebars, notices,
+body without link lists.  Inside an article a block goes only as a whole, when all
+its pieces are in the template: a repeated share line, notice or list of stories
+goes, a word that many articles set in bold stays.  An article of which nothing would
+be left is taken as it is.  Navigation, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments go, by element and by the
 words of class and id: whole names, or their first or last part, but no name
 that says has, no or with.  Name words never drop html, body, main or article,
 and inside an article "header" is no such word.  Where they drop what lies
 around a page's only article, the article is taken if it holds more than the
-rest of the body.  Text of an article is never template: pages of a host
-may be copies of each other.
+rest of the body.
 
 Templates are small and are broadcast while their tokens stay under
 ``BROADCAST_TOKENS``; beyond that they are joined by a shuffle.  A null or
@@ -42,6 +45,7 @@ from kudoscope.llm.common import written
 BROADCAST_TOKENS = 1_000_000
 CLASS_TOKENS = 3
 HOST_PAGES = 3
+HELD_TOKENS = 50_000  # counted tokens that a task holds
 
 # Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -168,45 +172,65 @@ def _host():
     return F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
+def _print(found: list[Node]) -> int:
+    """What the article of a page reads, as a number (of the whole page where it
+    has no article)."""
+    pieces = [n for n in found if n.text is not None and n.token and not n.dropped]
+    inner = [n for n in pieces if n.main] or pieces
+    return _hash("", " ".join(" ".join(n.text for n in inner).split()))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrence vectors of a batch's tokens, by host: pages, total, sum of
-    page hashes, first and last place; token 0 counts the pages."""
+    """Tokens of a batch's pages, folded by host and article: count, first and last
+    place; token 0 stands for the page."""
+    found: dict[tuple[str, int, int], tuple] = {}
     for batch in batches:
-        found: dict[tuple[str, int], list] = {}
-        for host, page_id, page in zip(*(c.to_pylist() for c in batch.columns)):
+        for host, page in zip(*(c.to_pylist() for c in batch.columns)):
+            own = list(nodes(page))
+            mark, n = _print(own), max(1, len(own))
             seen: dict[int, list] = {0: [1, 0, 0]}
-            n = 1
-            for n, node in enumerate(nodes(page), 1):
-                if node.token and not (node.main and node.text is not None):
-                    x = seen.setdefault(node.token, [0, n, n])
+            for at, node in enumerate(own, 1):
+                if node.token:
+                    x = seen.setdefault(node.token, [0, at, at])
                     x[0] += 1
-                    x[2] = n
-            salt = xxhash.xxh32_intdigest(str(page_id))
+                    x[2] = at
             for token, (count, first, last) in seen.items():
-                x = found.setdefault((host, token), [0, 0, 0, 0.0, 0.0])
-                x[0] += 1
-                x[1] += count
-                x[2] += (salt * count) & 0xFFFFFFFF
-                x[3] += first / n
-                x[4] += last / n
-        keys = list(found)
-        values = list(zip(*found.values())) or [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
-                *[pa.array(list(v), pa.int64()) for v in values[:3]], *[pa.array(list(v), pa.float64()) for v in values[3:]],
-            ],
-            names=["host", "token", "pages", "total", "vector", "first", "last"],
-        )
+                key, x = (host, mark, token), (count, first / n, last / n)
+                found[key] = max(found.get(key, x), x)
+            if len(found) >= HELD_TOKENS:
+                yield _token_rows(found)
+                found.clear()
+    yield _token_rows(found)
+
+
+def _token_rows(found: dict[tuple[str, int, int], tuple]) -> pa.RecordBatch:
+    keys, values = list(zip(*found)) or [[]] * 3, list(zip(*found.values())) or [[]] * 3
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(list(keys[0]), pa.string()), *[pa.array(list(k), pa.int64()) for k in keys[1:]],
+            pa.array(list(values[0]), pa.int64()), *[pa.array(list(v), pa.float64()) for v in values[1:]],
+        ],
+        names=["host", "page", "token", "count", "first", "last"],
+    )
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """``host`` and the token hashes of its template."""
+    seen = F.max(F.struct("count", "first", "last")).alias("x")
+    salt = F.xxhash64("page").bitwiseAND(F.lit(0xFFFFFFFF))
     counts = (
-        pages.select(_host().alias("host"), F.col("page_id"), "html")
-        .mapInArrow(_counted, "host string, token bigint, pages bigint, total bigint, vector bigint, first double, last double")
+        pages.select(_host().alias("host"), "html")
+        .mapInArrow(_counted, "host string, page bigint, token bigint, count bigint, first double, last double")
+        .groupBy("host", "page", "token")
+        .agg(seen)
         .groupBy("host", "token")
-        .agg(*[F.sum(c).alias(c) for c in ("pages", "total", "vector", "first", "last")])
+        .agg(
+            F.count("*").alias("pages"),
+            F.sum("x.count").alias("total"),
+            F.sum((salt * F.col("x.count")).bitwiseAND(F.lit(0xFFFFFFFF))).alias("vector"),
+            F.sum("x.first").alias("first"),
+            F.sum("x.last").alias("last"),
+        )
     )
     per_host = F.max(F.when(F.col("token") == 0, F.col("pages")))
     # tokens of few pages go before anything is gathered
@@ -234,11 +258,18 @@ def templates(pages: DataFrame) -> DataFrame:
     return classes.select("host", F.flatten(F.transform(valid, lambda c: c["tokens"])).alias("template"))
 
 
+def _own_blocks(inner: list[Node], template: frozenset[int]) -> list[Node]:
+    """The blocks of an article that hold a piece outside the template; all of them
+    where none does."""
+    own = {n.block for n in inner if n.token and n.token not in template}
+    return [n for n in inner if n.block in own or not n.token] if own else inner
+
+
 def extract(page: str | None, template: frozenset[int]) -> str:
     """Main text of a page: the slots its template leaves, block by block."""
     pieces = [n for n in nodes(page) if n.text is not None]
     kept = [n for n in pieces if not n.dropped]
-    inner = [n for n in kept if n.main]
+    inner = _own_blocks([n for n in kept if n.main], template)
     if not any(n.token for n in inner):
         inner = [n for n in kept if n.token not in template or not n.token]
         linked: dict[int, list[int]] = {}
