@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BUCKETS, WIDTH = 1 << 16, 16
 LONGEST = 4  # letters of a subword
+WORDS, PART = 2048, 1 << 20  # words and bytes of text looked at together
 
 
 @dataclass
@@ -98,9 +99,12 @@ def means(texts: list[list[str]], table: np.ndarray) -> np.ndarray:
     if not flat:
         return out
     codes, found = pd.factorize(np.array(flat, dtype=object))
-    buckets, sizes = subwords(list(found))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    sums = np.add.reduceat(table[buckets], starts, axis=0)
+    sums, sizes = np.empty((len(found), table.shape[1])), np.empty(len(found), dtype=np.int64)
+    for lo in range(0, len(found), WORDS):  # a word has some dozens of subwords
+        part = slice(lo, lo + WORDS)
+        buckets, sizes[part] = subwords(list(found[part]))
+        starts = np.concatenate([[0], np.cumsum(sizes[part])[:-1]])
+        sums[part] = np.add.reduceat(table[buckets], starts, axis=0)
     for d in range(table.shape[1]):
         out[:, d] = np.bincount(owner, weights=sums[codes, d], minlength=len(texts))
     number = np.bincount(owner, weights=sizes[codes], minlength=len(texts))
@@ -254,7 +258,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: dict
     return found.select(*(["kept.*"] if keep else []), "lang_pred", "score", "accepted")
 
 
-def _parts(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, most: int = PART) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text."""
     lengths = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)], dtype=np.int64)
     run = np.cumsum(lengths) // most
