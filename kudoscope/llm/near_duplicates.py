@@ -180,7 +180,14 @@ def cluster_table(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _row_key(docs: DataFrame) -> list[Column]:
     """Two independent 64-bit hashes over all columns of a row, nulls told apart from what stands beside them."""
-    values = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    values = []
+    for name, kind in docs.dtypes:
+        c = F.col(f"`{name}`")
+        # a map has no hash and no order of its own
+        if "map<" in kind:
+            flat = kind.startswith("map<") and kind.count("map<") == 1
+            c = F.array_sort(F.map_entries(c)) if flat else F.to_json(F.struct(c))
+        values += [F.col(f"`{name}`").isNull(), c]
     return [F.xxhash64(F.lit(seed), *values) for seed in (1, 2)]
 
 
