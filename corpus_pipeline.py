@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kudoscope.llm import byte_pairs, decontaminate, near_duplicates, personal_data, quality_rules
-from kudoscope.llm.common import table, written
+from kudoscope.llm.common import forget, table, written
 from kudoscope.llm.queries import vocabulary
 
 
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
+    docs = before = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = written(stage(spark, docs, sf_dir))
+        if k:
+            forget(before)  # the given table stays
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
