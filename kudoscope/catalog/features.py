@@ -409,4 +409,15 @@ def checked(spark, sf):
 @query("I16_phrases_tied_to_quality")
 def phrases(spark, sf):
     docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
-    return tidy(tfidf.rank_phrases(docs, "quality", "text", term_settings(500), 25, max_iter=50))
+    return tidy(tfidf.rank_phrases(docs, "quality"))
+
+
+@query("I16_planted_phrase", f"""SELECT 'plantedword' AS term, 'high' AS side, {big('25')} AS high, {big('25')} AS low""")
+def planted_phrase(spark, sf):
+    """A word that is frequent in the texts of one label only comes first."""
+    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    word = F.when(F.col("quality") == 1, F.repeat(F.lit(" plantedword"), F.lit(100))).otherwise("")
+    found = keep(tfidf.rank_phrases(docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), word)), "quality"))
+    first = found.where("side = 'high'").orderBy(F.desc("weight"), "term").limit(1)
+    sizes = found.agg(F.struct(F.count_if(F.col("side") == "high").alias("high"), F.count_if(F.col("side") == "low").alias("low"))).scalar()
+    return tidy(first.withColumn("s", sizes).select("term", "side", "s.high", "s.low"))

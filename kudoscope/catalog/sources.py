@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from kudoscope.catalog.base import business, reviews, sql, table, users, with_text
 from kudoscope.catalog.cleaning import RAW_REVIEWS, raw_reviews
-from kudoscope.catalog.features import SPLIT_CTES, term_settings
+from kudoscope.catalog.features import SPLIT_CTES
 from kudoscope.catalog.models import _text_rows
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.models import regression, text_models
-from kudoscope.operators import clean, reshape
+from kudoscope.operators import clean, reshape, sampling
 from kudoscope.plans import end_to_end, feature_matrix, sweep, training
 from kudoscope.schemas import BUSINESS_RAW, REVIEWS_RAW
 from kudoscope.session import work_folder
@@ -172,12 +172,31 @@ def score_saved(spark, sf):
     """A model saved and loaded again scores every row."""
     folder = work_folder(spark)
     rows = _text_rows(spark, sf)
-    run = training.train_model(rows, text_models.BINARY_TARGET, "logreg", "text_tfidf_plus_numeric", "doc_id",
-                               settings=term_settings(300), folder=folder)
+    run = training.train_model(rows, text_models.BINARY_TARGET, "logreg", "text_tfidf_plus_numeric", "doc_id", folder=folder)
     preds, _ = training.evaluate_saved(spark, f"{folder}/{run.name}", rows, text_models.BINARY_TARGET, "doc_id")
     return tidy(preds.agg(F.count_if(F.col("y_proba").between(0, 1)).alias("scored")))
 
 
+@query("J21_held_out_metrics", f"""SELECT {big('ceil(count(*) * 0.2)')} AS eval_rows, {big('1')} AS metrics_equal, {big('1')} AS better_than_chance
+FROM labels JOIN documents USING (doc_id)""")
+def held_out_metrics(spark, sf):
+    """A saved model scores rows that it was not fitted on; its metrics are those that
+    plain aggregates over its predictions give."""
+    folder = work_folder(spark)
+    train, held = sampling.split(_text_rows(spark, sf), 0.2, "doc_id", text_models.BINARY_TARGET)
+    run = training.train_model(train, text_models.BINARY_TARGET, "logreg", "text_tfidf", "doc_id", folder=folder)
+    preds, found = training.evaluate_saved(spark, f"{folder}/{run.name}", held, text_models.BINARY_TARGET, "doc_id")
+    hit = (F.col("y_true") == F.col("y_pred")).cast("double")
+    own = preds.agg(F.struct(
+        F.avg(hit).alias("accuracy"), F.avg(F.when(F.col("y_true") == 1, hit)).alias("recall"),
+        F.avg(F.when(F.col("y_pred") == 1, hit)).alias("precision")).alias("o"))
+    table = found.withColumn("o", own.scalar())
+    same = F.lit(True)
+    for m in ("accuracy", "recall", "precision"):
+        same = same & (F.abs(F.col(m) - F.coalesce(F.col(f"o.{m}"), F.lit(0.0))) < 1e-9)
+    return tidy(table.select("eval_rows", same.alias("metrics_equal"), (F.col("roc_auc") > 0.5).alias("better_than_chance")))
+
+
 @query("J22_raw_files_to_metrics")
 def raw_to_metrics(spark, sf):
     """Ingest, clean, assemble, build features, model: one application."""
