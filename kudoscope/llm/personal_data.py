@@ -37,7 +37,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kudoscope.llm.common import before, fresh, let
+from kudoscope.llm.common import before, fresh, forget, let, written
 from kudoscope.session import keep, release
 
 # Kinds in the order of the query, and their patterns.  Loops at
@@ -282,7 +282,8 @@ def fit(
     """Fit on a bounded sample, calibrate on all documents; None for an empty table."""
     if docs.isEmpty():
         return None
-    table = labelled(docs, seed)
+    # read three times: the texts are matched once
+    table = written(labelled(docs, seed))
     sizes = {(r["maker"], r["label"]): r["n"] for r in table.groupBy("maker", "label").agg(F.count("*").alias("n")).collect()}
     held = F.pmod("draw", F.lit(4)) == 0
     share = F.lit(0.0)
@@ -305,7 +306,9 @@ def fit(
             parts[maker] = Trees(trees, tuple(float(w) for w in fitted.treeWeights), 0.0)
     finally:
         release(drawn)
-    return Model(_calibrated(table.where(held), parts, precision))
+    cuts = _calibrated(table.where(held), parts, precision)
+    forget(table)
+    return Model(cuts)
 
 
 def _calibrated(held: DataFrame, parts: dict[str, Trees], precision: float) -> dict[str, Trees]:
