@@ -40,9 +40,9 @@ def range_of(value: Column, cuts: Column) -> Column:
 
 
 def ranged(freq: DataFrame, value: str) -> DataFrame:
-    """``freq`` with the number ``_range`` of each row's value."""
+    """``freq`` with the number ``_bucket`` of each row's value."""
     return freq.withColumn("_cuts", splitters(freq, value)).withColumn(
-        "_range", range_of(F.col(value), F.col("_cuts"))
+        "_bucket", range_of(F.col(value), F.col("_cuts"))
     ).drop("_cuts")
 
 
@@ -75,23 +75,23 @@ def running_total(
             | {f"{c}_all": F.sum(c).over(whole) for c in counts}
         )
     cut = ranged(freq, value)
-    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
-    totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
+    totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
     offsets = totals.select(
         *by,
-        "_range",
+        "_bucket",
         *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in counts],
         *[F.sum(f"_{c}").over(whole).alias(f"{c}_all") for c in counts],
     )
     inside = (
-        W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     )
     return (
         cut.withColumns({f"_{c}_in": F.sum(c).over(inside) for c in counts})
-        .join(offsets, [*by, "_range"])
+        .join(offsets, [*by, "_bucket"])
         .withColumns({f"{c}_upto": F.col(f"_{c}_before") + F.col(f"_{c}_in") for c in counts})
-        .drop("_range", *[f"_{c}_before" for c in counts], *[f"_{c}_in" for c in counts])
+        .drop("_bucket", *[f"_{c}_before" for c in counts], *[f"_{c}_in" for c in counts])
     )
 
 
@@ -102,19 +102,19 @@ def with_neighbours(freq: DataFrame, value: str, columns: Sequence[str]) -> Data
     Neighbours inside a range come from a window; at its ends from the first and
     last row of the ranges beside it."""
     cut = ranged(freq, value).withColumn("_own", F.struct(*columns))
-    ends = cut.groupBy("_range").agg(
+    ends = cut.groupBy("_bucket").agg(
         F.min_by("_own", value).alias("_first"), F.max_by("_own", value).alias("_last")
     )
-    ranges = W.orderBy("_range")  # a row for each range
+    ranges = W.orderBy("_bucket")  # a row for each range
     ends = ends.select(
-        "_range", F.lag("_last").over(ranges).alias("_below"), F.lead("_first").over(ranges).alias("_above")
+        "_bucket", F.lag("_last").over(ranges).alias("_below"), F.lead("_first").over(ranges).alias("_above")
     )
-    inside = W.partitionBy("_range").orderBy(value)
+    inside = W.partitionBy("_bucket").orderBy(value)
     return (
         cut.withColumns({"lower": F.lag("_own").over(inside), "higher": F.lead("_own").over(inside)})
-        .join(ends, "_range")
+        .join(ends, "_bucket")
         .withColumns({"lower": F.coalesce("lower", "_below"), "higher": F.coalesce("higher", "_above")})
-        .drop("_range", "_own", "_below", "_above")
+        .drop("_bucket", "_own", "_below", "_above")
     )
 
 

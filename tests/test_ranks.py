@@ -41,11 +41,11 @@ def test_quantile_bins_equal_qcut(spark, values):
 def test_ranges_never_decrease_and_spread_dense_values(spark):
     values = sorted({float(np.nextafter(2.0**k, d)) for k in range(-20, 40) for d in (-np.inf, np.inf)} | {2.0**k for k in range(-20, 40)} | {0.0, -1.0, -2.5, -2.0, 1e-300, 5e-324, 1e300})
     df = ranks.ranged(frame(spark, values), "v").orderBy("i")
-    buckets = [r["_range"] for r in df.collect()]
+    buckets = [r["_bucket"] for r in df.collect()]
     assert buckets == sorted(buckets) and len(set(buckets)) > 100
     # 200,000 values within a few millionths of each other
     dense = spark.range(200_000).select(F.col("id").alias("i"), (F.lit(0.9999) + F.col("id") * 1e-10).alias("v"))
-    sizes = [r["count"] for r in ranks.ranged(dense, "v").groupBy("_range").count().collect()]
+    sizes = [r["count"] for r in ranks.ranged(dense, "v").groupBy("_bucket").count().collect()]
     assert len(sizes) > 900 and max(sizes) < 1000
     row = ranks.rank_table(dense, "v").agg(F.max("rank_max"), F.sum("rank_avg"), F.count("*")).first()
     assert tuple(row) == (200_000, 200_000 * 200_001 / 2, 200_000)
@@ -178,5 +178,5 @@ def test_infinite_values_rank_at_the_ends(spark):
     from kudoscope.operators import ranks
 
     rows = spark.createDataFrame([(float("inf"),), (1.0,), (-5e300,), (float("-inf"),)], "v double")
-    got = [r[0] for r in ranks.ranged(rows, "v").orderBy("_range").collect()]
+    got = [r[0] for r in ranks.ranged(rows, "v").orderBy("_bucket").collect()]
     assert got == [float("-inf"), -5e300, 1.0, float("inf")]
