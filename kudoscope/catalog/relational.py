@@ -8,7 +8,7 @@ from kudoscope.catalog.base import business, documents, review_base, reviews, sq
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.functions import categories, dates, text, votes
 from kudoscope.operators import aggregates, correlation, joins, ranks, reshape, sampling, sketches
-from kudoscope.session import work_folder
+from kudoscope.session import keep, work_folder
 from kudoscope.sources import readers
 
 # ---- joins ----------------------------------------------------------------
@@ -366,7 +366,8 @@ def _bin_sql(x: str, q: int) -> str:
     r"t AS (SELECT useful, len(regexp_extract_all(text, '\S+')) AS words FROM review WHERE text IS NOT NULL)"))
 def by_length(spark, sf):
     df = review_base(spark, sf, ["text"]).where("text is not null")
-    df = df.select("useful", text.word_count(F.col("text")).alias("words"))
+    # the edges and the bins are two passes over the two numbers
+    df = keep(df.select("useful", text.word_count(F.col("text")).alias("words")))
     return tidy(aggregates.mean_by_bin(ranks.quantile_bin(df, "words", 10), "bin", "useful"))
 
 

@@ -15,8 +15,12 @@ BLANKS = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 CAPITAL = r"\p{IsUppercase}"
-WORD_RUN = r"(?U)\w+"
-TOKEN_RUN = r"(?U)\w{2,}"
+# plain letters and marks are named beside the Unicode class: they are found in a
+# table, and the class is asked for other characters only
+WORD_CHAR = r"[0-9A-Z_a-z\w]"
+NO_BLANK = r"[!-~[^\s\x1c-\x1f]]"
+WORD_RUN = rf"(?U){WORD_CHAR}+"
+TOKEN_RUN = rf"(?U){WORD_CHAR}{{2,}}"
 BOUNDED_TOKEN = r"(?U)\b\w\w+\b"
 
 TEXT_STATS = (
@@ -43,14 +47,8 @@ def char_length(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """Words between blanks: the parts of a split, less an empty part at either end."""
-
-    def blank_end(ch: Column) -> Column:
-        return ch.rlike(rf"(?U)^{BLANK}$").cast("int")
-
-    parts = F.size(F.split(c, rf"(?U){BLANK}+"))
-    words = parts - blank_end(F.left(c, F.lit(1))) - blank_end(F.right(c, F.lit(1)))
-    return F.when(c == "", F.lit(0)).when(c.isNotNull(), words)
+    """Words between blanks: the runs of other characters."""
+    return F.regexp_count(c, F.lit(rf"(?U){NO_BLANK}++"))
 
 
 def mean_word_length(c: Column) -> Column:
@@ -123,7 +121,7 @@ def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
             F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
         ).otherwise(F.array().cast("array<int>"))
         parts.append(
-            F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+            F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)]))
         )
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
