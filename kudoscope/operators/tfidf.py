@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
@@ -94,12 +95,12 @@ def tfidf_long(
     """Long form ``key``, ``term``, ``tf``, ``weight`` with unit rows.
 
     Fitted on ``train``, applied to ``score`` (or to ``train``).  The vocabulary
-    is bounded by ``max_features`` and is broadcast.
+    is bounded by ``max_features`` and is broadcast; only its terms are shuffled.
     """
-    tf = term_frequencies(train, key, column, settings)
+    found, tf = _kept_vocabulary(train, key, column, settings)
     rows = train.agg(F.count("*")).scalar()
-    vocab = vocabulary(tf, settings).withColumn("idf", smooth_idf(F.col("df"), rows))
-    target = tf if score is None else term_frequencies(score, key, column, settings)
+    vocab = found.withColumn("idf", smooth_idf(F.col("df"), rows))
+    target = tf if score is None else _listed_frequencies(score, key, column, settings, found)
     raw = target.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn(
         "_raw", F.col("tf") * F.col("idf")
     )
@@ -108,6 +109,39 @@ def tfidf_long(
     return raw.select(key, "term", "tf", (F.col("_raw") / norm).alias("weight"))
 
 
+def _listed_frequencies(
+    df: DataFrame, key: str, column: str, settings: TermSettings, terms: DataFrame
+) -> DataFrame:
+    """:func:`term_frequencies` of the listed ``terms`` alone; others stop in the task that read them."""
+    every = add_terms(df.select(key, column), column, settings).select(key, F.explode_outer("terms").alias("term"))
+    return every.join(F.broadcast(terms.select("term")), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _kept_vocabulary(
+    train: DataFrame, key: str, column: str, settings: TermSettings
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`vocabulary` of ``train``, and the kept term frequencies with those terms.
+
+    Rows with equal keys are one document.  Candidates are the terms with the highest
+    count that are in ``min_df`` rows, so no other term has more documents; they are
+    the vocabulary unless repeated keys put one below ``min_df``: then twice as many
+    are looked at."""
+    size = settings.max_features
+    words = keep(_words(train, column, settings))
+    try:
+        while True:
+            listed = [t for t, _, _ in most_frequent(words, replace(settings, max_features=size))]
+            terms = train.sparkSession.createDataFrame([(t,) for t in listed], "term string")
+            tf = keep(_listed_frequencies(train, key, column, settings, terms))
+            found = vocabulary(tf, settings)
+            if len(listed) < size or found.count() >= settings.max_features:
+                return found, tf
+            release(tf)
+            size *= 2
+    finally:
+        release(words)
+
+
 @dataclass
 class TfidfModel:
     """Fitted vocabulary (sorted by term) and idf weights."""
@@ -136,80 +170,118 @@ class TfidfModel:
         return PipelineModel(stages=[counts, weigh, unit])
 
 
-CELLS = 1 << 22  # counters of the first pass
+CELLS = 1 << 20  # counters of the first pass
+HEAVY = 4  # cells looked into first, for every term wanted
+
+
+def _words(df: DataFrame, column: str, settings: TermSettings) -> DataFrame:
+    words = text.without(text.tokens(text.filled(F.col(column))), settings.stops())
+    return df.select(words.alias("words"))
+
+
+def _cell(n: int, i: Column) -> Column:
+    """Hash cell of the ``n`` words from place ``i`` (0 is the first)."""
+    return F.pmod(F.xxhash64(*[F.get("words", i + k) for k in range(n)]), F.lit(CELLS)).cast("int")
+
+
+def _term(n: int, i: Column) -> Column:
+    return F.concat_ws(" ", *[F.get("words", i + k) for k in range(n)])
+
+
+def _is_listed(n: int, i: Column) -> Column:
+    return _in_cells(_cell(n, i), F.col("bits"))
 
 
-def _cell(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(CELLS))
+def _places(n: int) -> Column:
+    """First places of the n-grams of a row."""
+    return F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(
+        F.array().cast("array<int>")
+    )
+
 
+def cell_totals(words: DataFrame, settings: TermSettings) -> DataFrame:
+    """``cell``, ``n``: how often the terms of a hash cell occur together.
+
+    Only cell numbers are shuffled, folded per task before; their number is fixed."""
+    low, high = settings.ngram_range
+    cells = F.concat(*[F.transform(_places(n), partial(_cell, n)) for n in range(low, high + 1)])
+    return words.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
 
-def frequent_cells(terms: DataFrame, min_df: int) -> Column:
-    """Bits, as one array of numbers, of the hash cells whose terms together are
-    in ``min_df`` documents: a term outside them cannot be in so many.
 
-    Only cell numbers are shuffled, folded per task before."""
-    cells = terms.select(F.explode(F.array_distinct(F.transform("terms", _cell))).alias("cell"))
-    full = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= min_df)
+def _bits(cells: DataFrame) -> Column:
+    """The listed cells as bits of one array of numbers."""
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("cell", F.lit(64)).cast("int"))
-    words = full.groupBy(F.floor(F.col("cell") / 64).alias("id")).agg(F.bit_or(bit).alias("bits"))
-    every = terms.sparkSession.range(CELLS // 64).join(words, "id", "left")  # of a fixed size
+    words = cells.groupBy(F.floor(F.col("cell") / 64).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = cells.sparkSession.range(max(CELLS // 64, 1)).join(words, "id", "left")  # of a fixed size
     listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
     return every.agg(F.transform(listed, lambda e: e["bits"])).scalar()
 
 
-def _in_cells(term: Column, bits: Column) -> Column:
-    cell = _cell(term)
+def _in_cells(cell: Column, bits: Column) -> Column:
     word = F.element_at(bits, F.floor(cell / 64).cast("int") + 1)
     shifted = F.call_function("shiftright", word, F.pmod(cell, F.lit(64)).cast("int"))
     return shifted.bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
-def term_counts(words: DataFrame, settings: TermSettings) -> DataFrame:
-    """``term``, ``df``, ``total`` of the terms that can reach ``min_df``; the row
-    without a term holds the number of documents.
+def term_counts(words: DataFrame, settings: TermSettings, cells: DataFrame) -> DataFrame:
+    """``term``, ``df``, ``total`` of the terms in the listed hash cells.
 
-    A first pass counts hashes only; terms that cannot be frequent enough are dropped
-    inside the row, before any string is shuffled.  The terms left are sorted in the
-    row, so the first of equal ones counts the document."""
+    Other terms are dropped inside the row, before a string is made of their words.
+    The terms left are sorted in the row, so the first of equal ones counts the document."""
     low, high = settings.ngram_range
-    terms = words.select(text.ngrams(F.col("words"), low, high).alias("terms"))
-    if settings.min_df > 1:
-        terms = terms.withColumn("bits", frequent_cells(terms, settings.min_df)).select(
-            F.filter("terms", lambda t: _in_cells(t, F.col("bits"))).alias("terms")
-        )
-    ordered = terms.select(F.sort_array("terms").alias("t"))
+    parts = [
+        F.transform(F.filter(_places(n), partial(_is_listed, n)), partial(_term, n)) for n in range(low, high + 1)
+    ]
+    listed = words.withColumn("bits", _bits(cells)).select(F.sort_array(F.concat(*parts)).alias("t"))
     entry = F.transform(
         F.col("t"),
         lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("t", i - 1))).cast("int").alias("first")),
     )
-    document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
-    return (
-        ordered.select(F.inline(F.concat(document, entry)))
-        .groupBy("term")
-        .agg(F.sum("first").alias("df"), F.count("*").alias("total"))
-    )
+    return listed.select(F.inline(entry)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("total"))
+
+
+def most_frequent(words: DataFrame, settings: TermSettings) -> list[tuple[str, int, int]]:
+    """At most ``max_features`` (term, df, total) of the terms in ``min_df`` rows with
+    the highest total, ties by term.
+
+    A term occurs no more often than its cell.  The terms of the heaviest cells are
+    counted; if the last one wanted occurs as often as every cell left out, no term is
+    missing.  Else its total tells which further cells matter, and where there are
+    too few terms all cells that reach ``min_df`` do."""
+    cells = keep(cell_totals(words, settings))
+    try:
+        heaviest = cells.orderBy(F.desc("n")).limit(HEAVY * settings.max_features)
+        bound = heaviest.agg(F.min("n")).first()[0] or 1
+        while True:
+            found = (
+                term_counts(words, settings, cells.where(F.col("n") >= bound))
+                .where(F.col("df") >= settings.min_df)
+                .orderBy(F.desc("total"), F.asc("term"))
+                .limit(settings.max_features)
+                .collect()
+            )
+            full = 0 < len(found) == settings.max_features
+            needed = found[-1]["total"] if full else max(settings.min_df, 1)
+            if bound <= needed:
+                return [(r["term"], r["df"], r["total"]) for r in found]
+            bound = needed
+    finally:
+        release(cells)
 
 
 def fit_tfidf(train: DataFrame, column: str = "text", settings: TermSettings | None = None) -> TfidfModel:
     """Learn vocabulary and idf; only the bounded vocabulary reaches the driver.
 
-    The texts are split into words once; both passes read the kept words.
+    The texts are split into words once; all passes read the kept words.
     """
     settings = settings or TermSettings()
-    words = text.without(text.tokens(text.filled(F.col(column))), settings.stops())
-    kept = keep(train.select(words.alias("words")))
+    kept = keep(_words(train, column, settings))
     try:
-        found = (
-            term_counts(kept, settings)
-            .where(F.col("term").isNull() | (F.col("df") >= settings.min_df))
-            .orderBy(F.desc(F.col("term").isNull()), F.desc("total"), F.asc("term"))
-            .limit(settings.max_features + 1)
-            .collect()
-        )
+        rows = kept.count()
+        found = most_frequent(kept, settings)
     finally:
         release(kept)
-    rows = next((r["total"] for r in found if r["term"] is None), 0)
-    table = sorted(((r["term"], r["df"]) for r in found if r["term"] is not None), key=lambda r: r[0].encode())
+    table = sorted(((t, n) for t, n, _ in found), key=lambda r: r[0].encode())
     idf = [math.log((1.0 + rows) / (1.0 + n)) + 1 for _, n in table]
     return TfidfModel([t for t, _ in table], idf, settings, column)
 
