@@ -47,6 +47,7 @@ MODEL_TYPES = {
 BINARY_TARGET = "target_is_useful"
 COUNT_TARGET = "target_useful_votes"
 TREES = 300
+MODEL_TERMS = tfidf.TermSettings(max_features=5000, min_df=1)
 
 
 def model_type(name: str) -> str:
@@ -123,17 +124,21 @@ def feature_model(
     recipe: str,
     settings: tfidf.TermSettings | None = None,
     numeric: Sequence[str] = (),
+    fitted: tfidf.TfidfModel | None = None,
 ) -> PipelineModel:
     """Fitted stages that turn ``text`` (and numeric columns) into ``features``.
 
+    ``fitted`` is the vocabulary of the same rows and settings where the caller
+    has it: recipes share it.
+
     Term vectors stay sparse in every recipe, ``text_tfidf_dense`` too: Spark's
     trees read sparse vectors.  Numeric columns are filled with their median
     and divided by their largest size.
     """
     if recipe not in RECIPES:
         raise ValueError(f"unknown feature recipe {recipe!r}")
-    settings = settings or tfidf.TermSettings(max_features=5000, min_df=1)
-    fitted = tfidf.fit_tfidf(train, "text", settings)
+    settings = settings or MODEL_TERMS
+    fitted = fitted or tfidf.fit_tfidf(train, "text", settings)
     stages = [*term_stages(settings), fitted.stages("_text")] if fitted.terms else []
     parts = ["_text"] if fitted.terms else []
     if recipe == "text_tfidf_plus_numeric" and numeric:
@@ -197,6 +202,7 @@ def train_text_model(
     seed: int = 42,
     trees: int = TREES,
     depth: int = 10,
+    fitted: tfidf.TfidfModel | None = None,
 ) -> PipelineModel:
     """Fit features and estimator as one saved-and-loaded pipeline.
 
@@ -204,7 +210,7 @@ def train_text_model(
     while the estimator iterates over them.
     """
     rows = text_and_target(df, target)
-    features = feature_model(rows, recipe, settings, numeric)
+    features = feature_model(rows, recipe, settings, numeric, fitted)
     data = features.transform(rows).select("features", "label")
     weighted = target == BINARY_TARGET and model_type(kind) != "random_forest_regressor"
     if weighted:
