@@ -8,7 +8,7 @@ from kudoscope.catalog.base import documents, reviews, sql, table
 from kudoscope.catalog.features import SPLIT_CTES, clean_tables, learned_lexicon, master_split
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.models import regression, text_models, weights
-from kudoscope.operators import metrics, sentiment
+from kudoscope.operators import metrics, sentiment, tfidf
 from kudoscope.plans import exploration, feature_matrix, sweep, training
 from kudoscope.session import keep
 
@@ -286,10 +286,11 @@ def text_classifiers(spark, sf):
     """Logistic regression, linear SVC and random forest at the library's settings:
     every row is scored, every measure lies in its bounds, and each model is better in
     sample than a constant answer."""
-    rows = _text_rows(spark, sf)
+    rows = keep(_text_rows(spark, sf))
+    fitted = tfidf.fit_tfidf(rows, "text", text_models.MODEL_TERMS)
     out = []
     for kind in CLASSIFIERS:
-        run = training.train_model(rows, text_models.BINARY_TARGET, kind, "text_tfidf", "doc_id")
+        run = training.train_model(rows, text_models.BINARY_TARGET, kind, "text_tfidf", "doc_id", fitted=fitted)
         out.append(run.metrics.withColumn("model", F.lit(run.name)))
     measures = ("accuracy", "f1", "precision", "recall", "balanced_accuracy", "roc_auc", "average_precision")
     inside = F.lit(True)
