@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from kudoscope.operators.joins import salted_lookup
 from kudoscope.operators.ranks import running_total
+from kudoscope.session import keep
 
 Pair = tuple[str, str]
+FEW_VALUES = 20_000  # the ranks of a column with so many values are broadcast
 
 
 def all_pairs(columns: Sequence[str]) -> list[Pair]:
@@ -96,46 +99,55 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], row_key: str) -> Data
     own for each partner column.  Rows are folded to ``(column, value, mask of the
     filled columns)``; from the masks come, for every value of a column, the rows
     in which each partner is filled; one running total per column then gives all
-    its ranks at once.  No row is copied per pair: every row meets its ranks once per
-    column and is put together again by ``row_key``, which has to be unique.
+    its ranks at once, and these tables give the spread of the ranks.  Only the products
+    need the rows: a row meets the ranks of a column with few values (counted) in the
+    task that holds it, and is dealt out once for each column with many, by value,
+    hot ones spread by ``row_key``.
     """
     columns = list(columns)
     size = len(columns)
     filled = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
     mask = sum((F.when(f, F.lit(1 << i)).otherwise(0) for i, f in enumerate(filled)), F.lit(0)).cast("bigint")
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)
-    ])
-    long = df.select(F.col(row_key).alias("_row"), mask.alias("_mask"), F.inline(cells)).where(
-        F.col("_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("column"))) != 0
-    )
+    values = [f"_v{i}" for i in range(size)]
+    wide = keep(df.select(
+        F.col(row_key).alias("_row"), mask.alias("_mask"),
+        *[F.when(f, F.col(c).cast("double")).alias(v) for f, c, v in zip(filled, columns, values)],
+    ))
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(v).alias("value")) for i, v in enumerate(values)])
+    long = wide.select("_mask", F.inline(cells)).where("value is not null")
     folded = long.groupBy("column", "value", "_mask").agg(F.count("*").alias("n"))
     partners = [f"_p{i}" for i in range(size)]
-    beside = folded.groupBy("column", "value").agg(
+    beside = keep(folded.groupBy("column", "value").agg(
         F.sum("n").alias("n"),
         *[F.sum(F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col("n")).otherwise(0)).alias(p) for i, p in enumerate(partners)],
-    )
+    ))
     cum = running_total(beside, "value", partners, ["column"])
-    ranked = cum.select(
-        "column", "value", "n",
-        F.array(*[F.col(f"{p}_upto") - (F.col(p) - 1) / F.lit(2.0) for p in partners]).alias("_ranks"),
-    )
-    found = salted_lookup(long, ranked, ["column", "value"], "n", F.col("_row"), beside)
-    rows = found.groupBy("_row").agg(  # one entry per column
-        F.map_from_entries(F.collect_list(F.struct("column", "_ranks"))).alias("_r")
-    )
-    pairs = list(combinations(range(size), 2))
-
-    def rank(i: int, j: int) -> Column:
-        return F.when(F.col("_r")[i].isNotNull() & F.col("_r")[j].isNotNull(), F.element_at(F.col("_r")[i], j + 1))
+    # ranks less their mean
+    centred = [F.col(f"{p}_upto") - (F.col(p) - 1) / F.lit(2.0) - (F.col(f"{p}_all") + 1) / F.lit(2.0) for p in partners]
+    ranked = keep(cum.select("column", "value", "n", *partners, F.array(*centred).alias("_ranks")))
+    spread = {r["column"]: r for r in ranked.groupBy("column").agg(  # one row per column
+        F.count("*").alias("values"),
+        F.array(*[F.sum(p) for p in partners]).alias("rows"),
+        F.array(*[F.sum(F.col(p) * F.col("_ranks")[j] * F.col("_ranks")[j]) for j, p in enumerate(partners)]).alias("squares"),
+    ).collect()}
+    for i in sorted(spread, key=lambda i: -spread[i]["values"]):
+        table = ranked.where(F.col("column") == i).select(F.col("value").alias(values[i]), "n", F.col("_ranks").alias(f"_r{i}"))
+        if spread[i]["values"] <= FEW_VALUES:
+            wide = wide.join(F.broadcast(table.drop("n")), values[i], "left")
+        else:
+            wide = salted_lookup(wide, table, [values[i]], "n", F.col("_row"))
+    pairs = [(i, j) for i, j in combinations(range(size), 2) if i in spread and spread[i]["rows"][j] > 0]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, rows bigint, correlation double")
+    sums = wide.agg(*[F.sum(F.col(f"_r{i}")[j] * F.col(f"_r{j}")[i]).alias(f"c{i}_{j}") for i, j in pairs])
+
+    def correlated(i: int, j: int) -> Column:
+        size_of = math.sqrt(spread[i]["squares"][j]) * math.sqrt(spread[j]["squares"][i])
+        return F.col(f"c{i}_{j}") / F.lit(size_of) if size_of > 0 else F.lit(None).cast("double")
 
-    wide = rows.agg(*[
-        F.struct(F.count(rank(i, j)).alias("rows"), pearson_value(rank(i, j), rank(j, i)).alias("correlation")).alias(f"c{k}")
-        for k, (i, j) in enumerate(pairs)
-    ])
     listed = F.array(*[
-        F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.col(f"c{k}.rows").alias("rows"),
-                 F.col(f"c{k}.correlation").alias("correlation"))
-        for k, (i, j) in enumerate(pairs)
+        F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"),
+                 F.lit(spread[i]["rows"][j]).cast("bigint").alias("rows"), correlated(i, j).alias("correlation"))
+        for i, j in pairs
     ])
-    return wide.select(F.inline(listed)).where("rows > 0")
+    return sums.select(F.inline(listed))

@@ -81,15 +81,19 @@ def salted_lookup(
 
     ``rows`` is the column of ``table`` holding the number of left rows per
     key; it is dropped.  Only keys above ``HOT_SHARE`` of all rows are salted,
-    so the list of hot keys is bounded and the table copies few rows.
+    so the list of hot keys is bounded and the table copies few rows.  Rows with a
+    null key match nothing and are spread too.
     """
     sizes = table if sizes is None else sizes
     limit = sizes.agg(F.sum(rows) * F.lit(HOT_SHARE)).scalar()
     hot = sizes.where(F.col(rows) > limit).select(*keys, F.lit(SALTS).alias("_salts"))
+    empty = F.lit(False)
+    for k in keys:
+        empty = empty | F.col(k).isNull()
     spread = left.join(F.broadcast(hot), list(keys), "left").withColumn(
         "_salt",
         F.when(
-            F.col("_salts").isNotNull(), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")
+            F.col("_salts").isNotNull() | empty, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")
         ).otherwise(0),
     )
     copies = F.when(
