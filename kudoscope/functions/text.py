@@ -20,7 +20,8 @@ CAPITAL = r"\p{IsUppercase}"
 WORD_CHAR = r"[0-9A-Z_a-z\w]"
 NO_BLANK = r"[!-~[^\s\x1c-\x1f]]"
 WORD_RUN = rf"(?U){WORD_CHAR}+"
-TOKEN_RUN = rf"(?U){WORD_CHAR}{{2,}}"
+# one character and a plain run: Java scans runs of ``+`` in a tight loop, not ``{2,}``
+TOKEN_RUN = rf"(?U){WORD_CHAR}{WORD_CHAR}+"
 BOUNDED_TOKEN = r"(?U)\b\w\w+\b"
 
 TEXT_STATS = (
@@ -48,7 +49,7 @@ def char_length(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Words between blanks: the runs of other characters."""
-    return F.regexp_count(c, F.lit(rf"(?U){NO_BLANK}++"))
+    return F.regexp_count(c, F.lit(rf"(?U){NO_BLANK}+"))
 
 
 def mean_word_length(c: Column) -> Column:

@@ -161,6 +161,14 @@ class TfidfModel:
             add_terms(df, self.column, self.settings, "_terms")
         ).drop("_terms", "_counts", "_weighted")
 
+    def of_words(self, words: DataFrame, output: str = "tfidf") -> DataFrame:
+        """Vectors of rows whose texts are split into ``words``; other columns stay."""
+        terms = text.ngrams(F.col("words"), *self.settings.ngram_range)
+        found = words.withColumn("_terms", terms).drop("words")
+        if not self.terms:
+            return found.drop("_terms")
+        return self.stages(output).transform(found).drop("_terms", "_counts", "_weighted")
+
     def stages(self, output: str = "tfidf") -> PipelineModel:
         counts = CountVectorizerModel.from_vocabulary(self.terms, "_terms", "_counts")
         weigh = ElementwiseProduct(
@@ -174,9 +182,9 @@ CELLS = 1 << 20  # counters of the first pass
 HEAVY = 4  # cells looked into first, for every term wanted
 
 
-def _words(df: DataFrame, column: str, settings: TermSettings) -> DataFrame:
+def _words(df: DataFrame, column: str, settings: TermSettings, *more: Column) -> DataFrame:
     words = text.without(text.tokens(text.filled(F.col(column))), settings.stops())
-    return df.select(words.alias("words"))
+    return df.select(*more, words.alias("words"))
 
 
 def _cell(n: int, i: Column) -> Column:
@@ -199,13 +207,59 @@ def _places(n: int) -> Column:
     )
 
 
+def _grams(words: DataFrame, settings: TermSettings) -> DataFrame:
+    """A row for every place of a word: the n-grams from there as ``n1``, ``n2`` ... structs
+    of words; null where the text ends before.
+
+    Zipped and exploded lists run in compiled code, functions of list elements do not."""
+    low, high = settings.ngram_range
+    after = [
+        F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))).alias(f"w{k}") for k in range(high)
+    ]
+    rows = words.select(F.explode(F.arrays_zip(*after)).alias("z")).select("z.*")
+    return rows.select(
+        *[F.when(F.col(f"w{n - 1}").isNotNull(), F.struct(*[f"w{k}" for k in range(n)])).alias(f"n{n}") for n in range(low, high + 1)]
+    )
+
+
+def _gram_cell(n: int) -> Column:
+    """:func:`_cell` of an n-gram of :func:`_grams`; null for none."""
+    gram = F.col(f"n{n}")
+    cell = F.pmod(F.xxhash64(*[gram[f"w{k}"] for k in range(n)]), F.lit(CELLS)).cast("int")
+    return F.when(gram.isNotNull(), cell)
+
+
 def cell_totals(words: DataFrame, settings: TermSettings) -> DataFrame:
     """``cell``, ``n``: how often the terms of a hash cell occur together.
 
     Only cell numbers are shuffled, folded per task before; their number is fixed."""
     low, high = settings.ngram_range
-    cells = F.concat(*[F.transform(_places(n), partial(_cell, n)) for n in range(low, high + 1)])
-    return words.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    cells = F.array(*[_gram_cell(n) for n in range(low, high + 1)])
+    every = _grams(words, settings).select(F.explode(cells).alias("cell")).where("cell is not null")
+    return every.groupBy("cell").agg(F.count("*").alias("n"))
+
+
+def term_counts(words: DataFrame, settings: TermSettings, cells: DataFrame) -> DataFrame:
+    """``term``, ``total`` of the terms in the listed hash cells."""
+    low, high = settings.ngram_range
+    terms = [
+        F.when(
+            _in_cells(_gram_cell(n), F.col("bits")),
+            F.concat_ws(" ", *[F.col(f"n{n}")[f"w{k}"] for k in range(n)]),
+        )
+        for n in range(low, high + 1)
+    ]
+    rows = _grams(words, settings).withColumn("bits", _bits(cells))
+    every = rows.select(F.explode(F.array(*terms)).alias("term")).where("term is not null")
+    return every.groupBy("term").agg(F.count("*").alias("total"))
+
+
+def document_counts(words: DataFrame, settings: TermSettings, terms: Sequence[str]) -> dict[str, int]:
+    """Rows that have each of the ``terms``: their places in the vectors of counts, counted."""
+    counts = CountVectorizerModel.from_vocabulary(list(terms), "_terms", "_counts")
+    vectors = counts.transform(words.select(text.ngrams(F.col("words"), *settings.ngram_range).alias("_terms")))
+    places = vectors.select(F.explode(F.unwrap_udt("_counts")["indices"]).alias("place"))
+    return {terms[r["place"]]: r["count"] for r in places.groupBy("place").count().collect()}
 
 
 def _bits(cells: DataFrame) -> Column:
@@ -223,7 +277,7 @@ def _in_cells(cell: Column, bits: Column) -> Column:
     return shifted.bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
-def term_counts(words: DataFrame, settings: TermSettings, cells: DataFrame) -> DataFrame:
+def row_counts(words: DataFrame, settings: TermSettings, cells: DataFrame) -> DataFrame:
     """``term``, ``df``, ``total`` of the terms in the listed hash cells.
 
     Other terms are dropped inside the row, before a string is made of their words.
@@ -247,14 +301,20 @@ def most_frequent(words: DataFrame, settings: TermSettings) -> list[tuple[str, i
     A term occurs no more often than its cell.  The terms of the heaviest cells are
     counted; if the last one wanted occurs as often as every cell left out, no term is
     missing.  Else its total tells which further cells matter, and where there are
-    too few terms all cells that reach ``min_df`` do."""
+    too few terms all cells that reach ``min_df`` do.
+
+    The rows that have a term are counted for the terms with the highest totals alone;
+    only where too many of those are in too few rows are they counted for all looked at."""
     cells = keep(cell_totals(words, settings))
     try:
         heaviest = cells.orderBy(F.desc("n")).limit(HEAVY * settings.max_features)
         bound = heaviest.agg(F.min("n")).first()[0] or 1
+        found = _first_by_total(words, settings, cells, bound)
+        if found is not None:
+            return found
         while True:
             found = (
-                term_counts(words, settings, cells.where(F.col("n") >= bound))
+                row_counts(words, settings, cells.where(F.col("n") >= bound))
                 .where(F.col("df") >= settings.min_df)
                 .orderBy(F.desc("total"), F.asc("term"))
                 .limit(settings.max_features)
@@ -269,6 +329,25 @@ def most_frequent(words: DataFrame, settings: TermSettings) -> list[tuple[str, i
         release(cells)
 
 
+def _first_by_total(
+    words: DataFrame, settings: TermSettings, cells: DataFrame, bound: int
+) -> list[tuple[str, int, int]] | None:
+    """:func:`most_frequent` where twice as many terms hold enough that are in ``min_df``
+    rows; None where not.  No term of a cell left out occurs more often than ``bound``."""
+    listed = (
+        term_counts(words, settings, cells.where(F.col("n") >= bound))
+        .where(F.col("total") >= bound)
+        .orderBy(F.desc("total"), F.asc("term"))
+        .limit(2 * settings.max_features)
+        .collect()
+    )
+    if not 0 < settings.max_features <= len(listed):
+        return None
+    rows = document_counts(words, settings, [r["term"] for r in listed])
+    found = [(r["term"], rows[r["term"]], r["total"]) for r in listed if rows[r["term"]] >= settings.min_df]
+    return found[: settings.max_features] if len(found) >= settings.max_features else None
+
+
 def fit_tfidf(train: DataFrame, column: str = "text", settings: TermSettings | None = None) -> TfidfModel:
     """Learn vocabulary and idf; only the bounded vocabulary reaches the driver.
 
@@ -277,10 +356,15 @@ def fit_tfidf(train: DataFrame, column: str = "text", settings: TermSettings | N
     settings = settings or TermSettings()
     kept = keep(_words(train, column, settings))
     try:
-        rows = kept.count()
-        found = most_frequent(kept, settings)
+        return _fit_words(kept, column, settings)
     finally:
         release(kept)
+
+
+def _fit_words(kept: DataFrame, column: str, settings: TermSettings) -> TfidfModel:
+    """:func:`fit_tfidf` of texts split into kept ``words`` before."""
+    rows = kept.count()
+    found = most_frequent(kept.select("words"), settings)
     table = sorted(((t, n) for t, n, _ in found), key=lambda r: r[0].encode())
     idf = [math.log((1.0 + rows) / (1.0 + n)) + 1 for _, n in table]
     return TfidfModel([t for t, _ in table], idf, settings, column)
@@ -305,16 +389,25 @@ def rank_phrases(
     from kudoscope.operators.aggregates import extremes
 
     settings = settings or TermSettings(max_features=6000)
-    model = fit_tfidf(df, column, settings)
-    data = model.transform(df.select(column, F.col(label).cast("double").alias("label")))
-    rows = df.count()
-    fit = LogisticRegression(
-        featuresCol="tfidf",
-        labelCol="label",
-        maxIter=max_iter,
-        regParam=reg / max(rows, 1),
-        standardization=False,
-    ).fit(data)
+    label = F.col(label).cast("double").alias("label")
+    # texts are split once; the solver reads kept vectors, not the texts again
+    kept = keep(_words(df, column, settings, label))
+    try:
+        model = _fit_words(kept, column, settings)
+        data = keep(model.of_words(kept))
+        rows = kept.count()
+    finally:
+        release(kept)
+    try:
+        fit = LogisticRegression(
+            featuresCol="tfidf",
+            labelCol="label",
+            maxIter=max_iter,
+            regParam=reg / max(rows, 1),
+            standardization=False,
+        ).fit(data)
+    finally:
+        release(data)
     weights = list(zip(model.terms, (float(w) for w in fit.coefficients)))
     table = df.sparkSession.createDataFrame(weights, "term string, weight double")
     return extremes(table, "weight", "term", k)
