@@ -12,10 +12,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import (
     MaxAbsScaler,
-    NGram,
-    RegexTokenizer,
     SQLTransformer,
-    StopWordsRemover,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -24,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kudoscope.functions import text
-from kudoscope.models.weights import balanced_weights
+from kudoscope.models.weights import class_weights
 from kudoscope.operators import checks, ranks, sampling, tfidf
 from kudoscope.session import keep, release
 
@@ -90,21 +87,27 @@ def estimator(
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **common)
 
 
+def _quoted(value: str) -> str:
+    """A text in SQL."""
+    inner = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{inner}'"
+
+
 def term_stages(settings: tfidf.TermSettings) -> list:
-    """Transformers that add ``_terms`` to rows with a ``text``."""
+    """Transformers that add ``_terms`` to rows with a ``text``: the expressions of
+    :func:`tfidf.add_terms` as SQL, so a saved model splits texts without row functions."""
     low, high = settings.ngram_range
-    grams = [NGram(n=n, inputCol="_kept", outputCol=f"_terms{n}") for n in range(low, high + 1)]
-    joined = ", ".join(f"_terms{n}" for n in range(low, high + 1))
+    words = f"regexp_extract_all(lower(coalesce(text, '')), {_quoted(text.TOKEN_RUN)}, 0)"
+    if stops := sorted(set(settings.stops())):
+        words = f"filter({words}, w -> w NOT IN ({', '.join(map(_quoted, stops))}))"
+    grams = []
+    for n in range(low, high + 1):
+        places = f"CASE WHEN size(_kept) >= {n} THEN sequence(0, size(_kept) - {n}) ELSE array() END"
+        gram = ", ".join(f"get(_kept, i + {k})" for k in range(n))
+        grams.append("_kept" if n == 1 else f"transform({places}, i -> concat_ws(' ', {gram}))")
     return [
-        SQLTransformer(statement="SELECT *, coalesce(text, '') AS _filled FROM __THIS__"),
-        RegexTokenizer(
-            inputCol="_filled", outputCol="_tokens", gaps=False, pattern=text.TOKEN_RUN
-        ),
-        StopWordsRemover(
-            inputCol="_tokens", outputCol="_kept", stopWords=list(settings.stops()), caseSensitive=True
-        ),
-        *grams,
-        SQLTransformer(statement=f"SELECT *, concat({joined}) AS _terms FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {words} AS _kept FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, concat({', '.join(grams)}) AS _terms FROM __THIS__"),
     ]
 
 
@@ -209,15 +212,37 @@ def train_text_model(
     Terms and scales are fitted on all rows given; the assembled rows are kept
     while the estimator iterates over them.
     """
+    model, data = fit_on_kept_rows(df, target, kind, recipe, settings, numeric, seed, trees, depth, fitted)
+    release(data)
+    return model
+
+
+def fit_on_kept_rows(
+    df: DataFrame,
+    target: str,
+    kind: str,
+    recipe: str,
+    settings: tfidf.TermSettings | None = None,
+    numeric: Sequence[str] = (),
+    seed: int = 42,
+    trees: int = TREES,
+    depth: int = 10,
+    fitted: tfidf.TfidfModel | None = None,
+    key: Sequence[str] = (),
+) -> tuple[PipelineModel, DataFrame]:
+    """:func:`train_text_model`, and its kept rows ``features``, ``label`` and ``key``,
+    which the caller releases: the last stage scores them without the texts."""
     rows = text_and_target(df, target)
     features = feature_model(rows, recipe, settings, numeric, fitted)
-    data = features.transform(rows).select("features", "label")
+    data = features.transform(rows).select("features", "label", *key)
     weighted = target == BINARY_TARGET and model_type(kind) != "random_forest_regressor"
     if weighted:
-        data = balanced_weights(data, "label")
+        sizes = class_weights(rows, "label").select("label", "weight")  # the texts are not asked for
+        data = data.join(F.broadcast(sizes), "label")
     data = keep(data)
     try:
         model = Pipeline(stages=[estimator(kind, data.count(), seed, trees, depth, weighted)]).fit(data)
-    finally:
+    except BaseException:
         release(data)
-    return PipelineModel(stages=[features, model])
+        raise
+    return PipelineModel(stages=[features, model]), data

@@ -103,3 +103,57 @@ def test_words_of_the_sentiment_rules(spark):
     assert [r["token"] for r in words.orderBy("place").collect()] == [
         "its", "very", "good", "x.y", "étés", "a", "_b_", "tis"]
     assert "split(" not in plan(words)
+
+
+def test_rows_are_counted_for_the_highest_totals_only(spark, monkeypatch):
+    """``loud`` has the highest total in one row alone; the next ones take its place."""
+    docs = [("loud " * 50 + "aa bb",), ("aa bb cc",), ("aa cc aa",), ("",), (None,)]
+    df = spark.createDataFrame(docs, "text string")
+    monkeypatch.setattr(tfidf, "row_counts", None)
+    model = tfidf.fit_tfidf(df, "text", tfidf.TermSettings(2, 2, (1, 1), ()))
+    assert model.terms == ["aa", "bb"]
+
+
+@pytest.mark.parametrize("low, high", [(1, 1), (1, 3), (2, 2)])
+def test_zipped_words_give_the_terms_of_the_rows(spark, low, high):
+    words = spark.createDataFrame([(["aa", "bb", "aa", "bb"],), (["aa"],), ([],), (["bb", "aa"],)], "words array<string>")
+    s = tfidf.TermSettings(9, 1, (low, high), ())
+    cells = tfidf.cell_totals(words, s)
+    want = {r["term"]: r["total"] for r in tfidf.row_counts(words, s, cells).collect()}
+    assert {r["term"]: r["total"] for r in tfidf.term_counts(words, s, cells).collect()} == want
+    assert tfidf.document_counts(words, s, sorted(want)) == {r["term"]: r["df"] for r in tfidf.row_counts(words, s, cells).collect()}
+    assert "lambda" not in plan(cells)
+
+
+def test_phrases_are_fitted_on_kept_vectors(spark, monkeypatch):
+    """The solver's input holds no text."""
+    df = spark.createDataFrame([("good word", 1), ("bad word", 0), (None, 0)] * 4, "text string, y int")
+    seen = []
+    of_words = tfidf.TfidfModel.of_words
+    monkeypatch.setattr(tfidf.TfidfModel, "of_words", lambda *a: seen.append(of_words(*a)) or seen[-1])
+    out = tfidf.rank_phrases(df, "y", settings=tfidf.TermSettings(9, 1, (1, 1), ()), k=1).collect()
+    assert {r["side"]: r["term"] for r in out} == {"high": "good", "low": "bad"}
+    assert [c for c in seen[0].columns] == ["label", "tfidf"]
+
+
+def test_saved_stages_split_texts_as_the_vocabulary_does(spark):
+    df = spark.createDataFrame([("It's A café, Über_1 x don't",), ("",), (None,), ("stop\\ the aa bb the cc",)], "text string")
+    for grams in ((1, 1), (1, 3), (2, 2)):
+        s = tfidf.TermSettings(9, 1, grams, ("the", "don't", "a\\b"))
+        want = tfidf.add_terms(df, "text", s, "_terms").select("_terms").collect()
+        out = df
+        for stage in text_models.term_stages(s):
+            out = stage.transform(out)
+        assert [r[0] for r in out.select("_terms").collect()] == [r[0] for r in want]
+        assert "UDF" not in plan(out)
+
+
+def test_training_metrics_read_kept_vectors(spark, monkeypatch):
+    """The texts are turned into vectors once for the fit and the metrics."""
+    from kudoscope.plans import training
+
+    df = spark.createDataFrame([(i, "good word" if i % 2 else "bad word", i % 2) for i in range(12)], "k int, text string, target_is_useful int")
+    monkeypatch.setattr(training, "score", None)
+    run = training.train_model(df, text_models.BINARY_TARGET, "logreg", "text_tfidf", "k")
+    row = run.metrics.collect()[0]
+    assert (row["eval_rows"], row["accuracy"]) == (12, 1.0)
