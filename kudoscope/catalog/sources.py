@@ -15,9 +15,9 @@ from kudoscope.catalog.models import _text_rows
 from kudoscope.catalog.registry import big, query, r6, tidy
 from kudoscope.models import regression, text_models
 from kudoscope.operators import clean, reshape, sampling
-from kudoscope.plans import end_to_end, feature_matrix, sweep, training
+from kudoscope.plans import end_to_end, feature_matrix, master, sweep, training
 from kudoscope.schemas import BUSINESS_RAW, REVIEWS_RAW
-from kudoscope.session import work_folder
+from kudoscope.session import keep, work_folder
 from kudoscope.sources import files, ingest, readers, sinks
 
 
@@ -183,7 +183,9 @@ def held_out_metrics(spark, sf):
     """A saved model scores rows that it was not fitted on; its metrics are those that
     plain aggregates over its predictions give."""
     folder = work_folder(spark)
-    train, held = sampling.split(_text_rows(spark, sf), 0.2, "doc_id", text_models.BINARY_TARGET)
+    # the split is made once: all passes over its sides read kept rows
+    marked = keep(sampling.mark_evaluation(_text_rows(spark, sf), 0.2, "doc_id", text_models.BINARY_TARGET))
+    train, held = master.sides_of(marked)
     run = training.train_model(train, text_models.BINARY_TARGET, "logreg", "text_tfidf", "doc_id", folder=folder)
     preds, found = training.evaluate_saved(spark, f"{folder}/{run.name}", held, text_models.BINARY_TARGET, "doc_id")
     hit = (F.col("y_true") == F.col("y_pred")).cast("double")
