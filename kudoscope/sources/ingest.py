@@ -16,7 +16,7 @@ SHARD = "shard"
 def shard_of(path: Column) -> Column:
     """Shard name of a raw file: its name with its ending, so ``a.json`` and
     ``a.json.gz`` are two shards."""
-    return F.url_decode(F.element_at(F.split(path, "/"), -1))
+    return F.url_decode(F.substring_index(path, "/", -1))
 
 
 def with_shard(rows: DataFrame) -> DataFrame:

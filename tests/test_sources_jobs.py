@@ -9,6 +9,7 @@ from kudoscope.functions import text
 from kudoscope.models import regression, weights
 from kudoscope.operators import clean, tfidf
 from kudoscope.plans import end_to_end, sweep, training
+from kudoscope.session import SETTINGS
 from kudoscope.sources import files, ingest, readers, sinks
 from kudoscope.streaming import incremental
 
@@ -178,3 +179,11 @@ def test_files_that_differ_by_their_ending_are_two_shards(spark, tmp_path):
     assert ingest.convert(spark, "reviews", paths, out) == paths[1:]
     assert ingest.convert(spark, "reviews", paths, out) == []
     assert sorted(r["review_id"] for r in readers.read_shards(spark, "reviews", out).collect()) == ["r1", "r2", "r3"]
+
+
+def test_shard_names_need_no_split(spark):
+    df = spark.createDataFrame([("file:/a%20b/c%20d.json.gz",), ("plain.json",)], "p string")
+    out = df.select(ingest.shard_of(F.col("p")).alias("s"))
+    assert [r["s"] for r in out.collect()] == ["c d.json.gz", "plain.json"]
+    assert "split(" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "spark.sql.maxConcurrentOutputFileWriters" in SETTINGS
