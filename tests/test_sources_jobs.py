@@ -187,3 +187,14 @@ def test_shard_names_need_no_split(spark):
     assert [r["s"] for r in out.collect()] == ["c d.json.gz", "plain.json"]
     assert "split(" not in out._jdf.queryExecution().executedPlan().toString()
     assert "spark.sql.maxConcurrentOutputFileWriters" in SETTINGS
+
+
+def test_tables_by_side_are_written_side_by_side(spark, tmp_path):
+    from kudoscope.session import configure
+
+    configure(spark)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "4"
+    path = str(tmp_path / "t")
+    # more sides than open files: the rest is sorted as before
+    spark.range(40).selectExpr("id", "id % 9 AS side").write.partitionBy("side").parquet(path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(40))
