@@ -308,7 +308,7 @@ def count_regressor(spark, sf):
     """Random forest on terms and numbers at the library's settings; rows without votes
     are left out.  In sample it explains more than the mean does."""
     run = training.train_model(
-        _text_rows(spark, sf), text_models.COUNT_TARGET, "random_forest_regressor", "text_tfidf_plus_numeric", "doc_id")
+        keep(_text_rows(spark, sf)), text_models.COUNT_TARGET, "random_forest_regressor", "text_tfidf_plus_numeric", "doc_id")
     good = metrics.finite(F.col("mae")) & metrics.finite(F.col("rmse")) & metrics.finite(F.col("medae"))
     return tidy(run.metrics.select("eval_rows", good.alias("finite"), (F.col("r2") > 0).alias("beats_mean")))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kudoscope.functions import text
+from kudoscope.models import forest
 from kudoscope.models.weights import class_weights
 from kudoscope.operators import checks, ranks, sampling, tfidf
 from kudoscope.session import keep, release
@@ -241,7 +242,9 @@ def fit_on_kept_rows(
         data = data.join(F.broadcast(sizes), "label")
     data = keep(data)
     try:
-        model = Pipeline(stages=[estimator(kind, data.count(), seed, trees, depth, weighted)]).fit(data)
+        plan = estimator(kind, data.count(), seed, trees, depth, weighted)
+        is_forest = model_type(kind).startswith("random_forest")
+        model = PipelineModel(stages=[forest.fit(plan, data)]) if is_forest else Pipeline(stages=[plan]).fit(data)
     except BaseException:
         release(data)
         raise
