@@ -233,19 +233,43 @@ def fit_on_kept_rows(
 ) -> tuple[PipelineModel, DataFrame]:
     """:func:`train_text_model`, and its kept rows ``features``, ``label`` and ``key``,
     which the caller releases: the last stage scores them without the texts."""
+    features, data = kept_rows(df, target, [kind], recipe, settings, numeric, fitted, key)
+    try:
+        return fit_estimator(features, data, target, kind, seed, trees, depth), data
+    except BaseException:
+        release(data)
+        raise
+
+
+def _weighted(target: str, kind: str) -> bool:
+    return target == BINARY_TARGET and model_type(kind) != "random_forest_regressor"
+
+
+def kept_rows(
+    df: DataFrame,
+    target: str,
+    kinds: Sequence[str],
+    recipe: str,
+    settings: tfidf.TermSettings | None = None,
+    numeric: Sequence[str] = (),
+    fitted: tfidf.TfidfModel | None = None,
+    key: Sequence[str] = (),
+) -> tuple[PipelineModel, DataFrame]:
+    """Fitted feature stages, and the kept rows that models of all ``kinds`` read."""
     rows = text_and_target(df, target)
     features = feature_model(rows, recipe, settings, numeric, fitted)
     data = features.transform(rows).select("features", "label", *key)
-    weighted = target == BINARY_TARGET and model_type(kind) != "random_forest_regressor"
-    if weighted:
+    if any(_weighted(target, kind) for kind in kinds):
         sizes = class_weights(rows, "label").select("label", "weight")  # the texts are not asked for
         data = data.join(F.broadcast(sizes), "label")
-    data = keep(data)
-    try:
-        plan = estimator(kind, data.count(), seed, trees, depth, weighted)
-        is_forest = model_type(kind).startswith("random_forest")
-        model = PipelineModel(stages=[forest.fit(plan, data)]) if is_forest else Pipeline(stages=[plan]).fit(data)
-    except BaseException:
-        release(data)
-        raise
-    return PipelineModel(stages=[features, model]), data
+    return features, keep(data)
+
+
+def fit_estimator(
+    features: PipelineModel, data: DataFrame, target: str, kind: str, seed: int = 42, trees: int = TREES, depth: int = 10
+) -> PipelineModel:
+    """One model on :func:`kept_rows`, behind their feature stages."""
+    plan = estimator(kind, data.count(), seed, trees, depth, _weighted(target, kind))
+    is_forest = model_type(kind).startswith("random_forest")
+    model = PipelineModel(stages=[forest.fit(plan, data)]) if is_forest else Pipeline(stages=[plan]).fit(data)
+    return PipelineModel(stages=[features, model])

@@ -10,6 +10,7 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
 from kudoscope.models import forest, text_models
+from kudoscope.plans import training
 
 
 def _rows(shape, dense, y):
@@ -133,3 +134,20 @@ def test_bad_numbers_are_refused(spark):
     data = spark.createDataFrame([(Vectors.dense(1.0, float("nan")), 1.0), (Vectors.dense(1.0, 2.0), 0.0)], ["features", "label"])
     with pytest.raises(Exception, match="NaN"):
         forest.fit(text_models.estimator("random_forest_regressor", 2, trees=3), data)
+
+
+def test_kinds_share_their_vectors(spark, monkeypatch):
+    """Three models of one set of rows: the texts become vectors once."""
+    rows = [(k, ("good day " if k % 2 else "bad night ") + f"word{k % 5}", k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, target_is_useful int")
+    made = []
+    plain = text_models.feature_model
+    monkeypatch.setattr(text_models, "feature_model", lambda *a, **k: made.append(1) or plain(*a, **k))
+    runs = training.train_models(df, text_models.BINARY_TARGET, ("logreg", "svc", "rf"), "text_tfidf", "doc_id", trees=5)
+    assert len(made) == 1
+    assert [r.name.rsplit("__", 1)[1] for r in runs] == ["logreg", "svc", "rf"]
+    for run in runs:
+        got = run.metrics.first()
+        assert got["eval_rows"] == 60 and got["roc_auc"] == 1.0
+    alone = training.train_model(df, text_models.BINARY_TARGET, "logreg", "text_tfidf", "doc_id")
+    assert alone.metrics.first() == runs[0].metrics.first()
