@@ -37,6 +37,18 @@ def test_bins_are_the_cuts_below():
     assert forest.bins_of(cuts, i, x).tolist() == [0, 0, 2, 2, 3, 0, 1]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_cuts_are_quantiles_and_zero(spark, parts):
+    """Of feature 0 half the rows are zero, 1 is never zero, 2 has two values, 3 none."""
+    rows = [([0, 1, 2] if k % 2 else [1, 2], [float(k), k - 500.0 - (k <= 500), 7.0 + k % 3 // 2][k % 2 == 0:]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "i array<int>, x array<double>").repartition(parts)
+    cuts = forest.thresholds(df, 4, 8, 8)
+    assert cuts[0, 0] == 0 and cuts[0, 1:] == pytest.approx([250, 375, 500, 625, 750, 875], abs=40)
+    assert cuts[1] == pytest.approx([-375, -250, -125, 0, 125, 250, 375], abs=40)
+    assert cuts[2, 0] == 7 and np.isinf(cuts[2, 1:]).all() and np.isinf(cuts[3]).all()
+    assert (forest.thresholds(df, 4, 8, 8) == cuts).all()
+
+
 @pytest.mark.parametrize("classes", [False, True])
 def test_best_split_is_that_of_all_splits(classes):
     shape = forest.Shape(12, 8, 3, 12, 1, 5, classes, 0.0)
